@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +66,21 @@ def key_of(c: Column) -> Column:
     """Identifier as compared: without letter case and surrounding blanks; blank becomes null."""
     t = F.lower(trim_blanks(c))
     return F.when(t != "", t)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable in Python workers that don't share the driver's path (once per application)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_mnemolith_shipped", False):
+        return spark
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="mnemolith-zip-"), "mnemolith.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(here):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(path)  # sent by the driver's file server
+    sc._mnemolith_shipped = True
+    return spark
