@@ -1,0 +1,18 @@
+"""Queries of the core operators and the SQL that states the same results."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from mnemolith.streaming.delivery import removed_deliveries
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return removed_deliveries(spark, f"{d}/raw_entries.parquet")
+
+
+QUERIES = {"p6_found": p6_found}
+SQL = {
+    "p6_found": r"""SELECT seq FROM (SELECT seq, row_number() OVER (PARTITION BY lower(regexp_replace(message_uuid, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) ORDER BY ingested_at NULLS LAST, seq) rn
+FROM raw_entries WHERE regexp_replace(message_uuid, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') <> '') WHERE rn > 1""",
+}

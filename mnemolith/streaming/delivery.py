@@ -38,7 +38,8 @@ def _keyed(rows: DataFrame, key: str, ts: str, seq: str) -> DataFrame:
     return rows.select(key_of(F.col(key)).alias("key"), F.col(ts).cast("timestamp_ntz").alias("at"), F.col(seq).cast("long").alias("seq")).where("key IS NOT NULL")
 
 
-BEST = F.struct(F.col("at").isNull().alias("late"), "at", "seq")
+def _best():
+    return F.min(F.struct(F.col("at").isNull().alias("late"), "at", "seq")).alias("best")
 
 
 def delivery_ledger(stream: DataFrame, path: str, checkpoint: str, *, key: str = "message_uuid", ts: str = "ingested_at", seq: str = "seq", delay: str = "30 days", retention: str = "30 days"):
@@ -55,7 +56,7 @@ def delivery_ledger(stream: DataFrame, path: str, checkpoint: str, *, key: str =
         .withColumn("clock", F.col("at").cast("timestamp"))
         .withWatermark("clock", delay)
         .groupBy("key", F.window("clock", retention).alias("bucket"))
-        .agg(F.min(BEST).alias("best"))
+        .agg(_best())
         .select("key", "best")
     )
 
@@ -70,7 +71,7 @@ def late_deliveries(rows: DataFrame, watermark: str | None, *, key: str = "messa
     late = F.col("at").isNull()
     if watermark:
         late = late | (F.col("at").cast("timestamp") < F.lit(watermark).cast("timestamp"))
-    return _keyed(rows, key, ts, seq).where(late).groupBy("key").agg(F.min(BEST).alias("best"))
+    return _keyed(rows, key, ts, seq).where(late).groupBy("key").agg(_best())
 
 
 def settle(ledger: DataFrame) -> DataFrame:
