@@ -341,7 +341,7 @@ def near_duplicates(memories: DataFrame, t: float = 0.5, **how) -> DataFrame:
     Null contents, and texts with fewer than two words, have an empty set and no partner. Ids must be unique; copies
     are compared once, as one class, and expanded at the end.
     """
-    docs = memories.where("content IS NOT NULL").select("id", "content", F.unhex(F.md5(plain_form(F.col("content")))).alias("plain"), F.when(F.col("content").rlike(r"=|:"), F.unhex(F.md5(F.nullif(field_form(F.col("content")), F.lit(""))))).alias("fields"))
+    docs = memories.where("content IS NOT NULL").select("id", "content", F.unhex(F.md5(plain_form(F.col("content")))).alias("plain"), F.unhex(F.md5(F.nullif(field_form(F.col("content")), F.lit("")))).alias("fields"))
     docs = materialise(docs.mapInArrow(_keyed("content"), "id string, plain binary, fields binary, key long, size int"), "docs")
     pairs = materialise(similar_sets(memories.select("id", "content"), docs, t, **how), "pairs")
     # Classes of copies: members of a class are never partners of one another, so no group of copies is squared.
