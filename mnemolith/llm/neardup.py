@@ -199,39 +199,51 @@ def _postings(counts, shards: int, t: float, hot: int):
 
 
 class BKTree:
-    """Children are keyed by their Hamming distance to the parent; a search follows the edges within the radius."""
+    """Children are keyed by their Hamming distance to the parent; a search follows the edges within the radius.
 
+    A leaf keeps up to ``LEAF`` entries in a list and becomes a parent of its first entry when it overflows, so that
+    small trees are one list.
+    """
+
+    LEAF = 24
     __slots__ = ("root",)
 
     def __init__(self) -> None:
-        self.root: list | None = None
+        self.root: list = [[], None]  # entries (fingerprint, item); children by distance to the first entry
 
     def add(self, sig: int, item) -> None:
-        if self.root is None:
-            self.root = [sig, [item], {}]
-            return
         node = self.root
-        while True:
-            d = (node[0] ^ sig).bit_count()
-            if d == 0:
-                node[1].append(item)
-                return
-            child = node[2].get(d)
+        while node[1] is not None:
+            d = (node[0][0][0] ^ sig).bit_count()
+            child = node[1].get(d)
             if child is None:
-                node[2][d] = [sig, [item], {}]
+                node[1][d] = [[(sig, item)], None]
                 return
             node = child
-
-    def search(self, sig: int, radius: int) -> Iterator[tuple[int, list]]:
-        todo = [self.root] if self.root is not None else []
+        node[0].append((sig, item))
+        if len(node[0]) > self.LEAF:
+            pivot = node[0][0][0]
+            by: dict[int, list] = {}
+            for x in node[0][1:]:
+                by.setdefault((pivot ^ x[0]).bit_count(), []).append(x)
+            if len(by) > 1:  # equal fingerprints stay one list
+                node[0], node[1] = node[0][:1], {d: [xs, None] for d, xs in by.items()}
+
+    def search(self, sig: int, radius: int) -> list:
+        """Entries within ``radius`` of the fingerprint."""
+        out: list = []
+        todo = [self.root]
         while todo:
-            s, items, children = todo.pop()
-            d = (s ^ sig).bit_count()
+            entries, children = todo.pop()
+            if children is None:
+                out += [x for x in entries if (x[0] ^ sig).bit_count() <= radius]
+                continue
+            d = (entries[0][0] ^ sig).bit_count()
             if d <= radius:
-                yield d, items
-            if children:
-                lo, hi = d - radius, d + radius
-                todo.extend([c for e, c in children.items() if lo <= e <= hi])
+                out.append(entries[0])
+            lo, hi = d - radius, d + radius
+            todo += [c for e, c in children.items() if lo <= e <= hi]
+        return out
 
 
 def _search_shards(t: float):
@@ -263,6 +275,7 @@ def _search_shards(t: float):
         found: set[tuple[int, int]] = set()
         factor = (1 - t) / (1 + t)
         key_l, size_l, at_l, pos_l = key.tolist(), size.tolist(), at.tolist(), pos.tolist()
+        sigs = [int.from_bytes(x, "little") for x in sigs]
         for s, e in zip(start[some].tolist(), end[some].tolist()):
             tree = BKTree()
             seen = set()
@@ -275,12 +288,11 @@ def _search_shards(t: float):
                 n, p = size_l[x], pos_l[i]
                 asks_only = p >> 31
                 rest = n - (p & 0x7FFFFFFF)
-                sig = int.from_bytes(sigs[x], "little")
-                for d, items in tree.search(sig, int(factor * 2 * n + 1e-9)):
-                    for k2, n2, rest2 in items:
-                        both = n + n2
-                        if d <= factor * both + 1e-9 and n2 >= t * n - 1e-9 and min(rest, rest2) * (1 + t) >= t * both - 1e-9:
-                            found.add((k, k2) if k < k2 else (k2, k))
+                sig = sigs[x]
+                for sig2, (k2, n2, rest2) in tree.search(sig, int(factor * 2 * n + 1e-9)):
+                    both = n + n2
+                    if n2 >= t * n - 1e-9 and min(rest, rest2) * (1 + t) >= t * both - 1e-9 and (sig ^ sig2).bit_count() <= factor * both + 1e-9:
+                        found.add((k, k2) if k < k2 else (k2, k))
                 if not asks_only and rest * (1 + t) >= 2 * t * n - 1e-9:
                     tree.add(sig, (k, n, rest))
         if found:
