@@ -1,7 +1,7 @@
 """Problem 2: edited versions of one another, by BK-trees over Hamming distance. Exact.
 
 A text is the set of its ordered pairs of neighbouring words. Two sets A, B have a Jaccard similarity of at least t
-exactly if their Hamming distance |A xor B| is at most (1-t)/(1+t) * (|A|+|B|). A 256-bit fingerprint holds the parity
+exactly if their Hamming distance |A xor B| is at most (1-t)/(1+t) * (|A|+|B|). A 384-bit fingerprint holds the parity
 of the members hashed to each bit, so the Hamming distance of two fingerprints never exceeds that of the sets: a
 BK-tree over fingerprints, searched within that radius, loses nothing, and an exact comparison of the sets follows.
 
@@ -31,7 +31,7 @@ from mnemolith.util import materialise
 
 WORD = re.compile(r"[^\W_]+")
 SKETCH_BITS = 21
-SIGNATURE_BITS = 256
+SIGNATURE_BITS = 384
 POSTING = np.dtype([("t", "<u8"), ("p", "<u4")])
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
