@@ -86,27 +86,27 @@ def set_keys(n_rows: int, row: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray
     return key.view(np.int64), size
 
 
-def _keyed(content: str):
-    """Adds ``key`` and ``size`` to every batch and drops the content."""
+READ = "id string, plain binary, fields binary, key long, size int, block int, z binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(content).to_pylist()
-            key, size = set_keys(len(texts), *word_pairs(texts))
-            cols = {n: b.column(n) for n in b.schema.names if n != content}
-            yield pa.RecordBatch.from_pydict({**cols, "key": pa.array(key), "size": pa.array(size.astype(np.int32))})
 
-    return run
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One reading of all texts: a row with ``key`` and ``size`` for each, then the task's part of the sketch.
 
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sketch of one task: compressed counters, one row for each of 64 blocks."""
+    The sketch goes out as compressed counters, one row (without id) for each of 64 blocks that has any.
+    """
     total = np.zeros(1 << SKETCH_BITS, np.int32)
+    names = ["id", "plain", "fields", "key", "size", "block", "z"]
     for b in batches:
-        _, pair = word_pairs(b.column(0).to_pylist())
+        texts = b.column("content").to_pylist()
+        row, pair = word_pairs(texts)
+        key, size = set_keys(len(texts), row, pair)
         np.add.at(total, (pair >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+        n = len(texts)
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("plain"), b.column("fields"), pa.array(key), pa.array(size.astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
     blocks = [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(np.split(total, 64)) if x.any()]
-    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in blocks], pa.int32()), pa.array([z for _, z in blocks], pa.binary())], ["block", "z"])
+    n = len(blocks)
+    none = [pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
+    yield pa.RecordBatch.from_arrays([*none, pa.array([i for i, _ in blocks], pa.int32()), pa.array([z for _, z in blocks], pa.binary())], names)
 
 
 def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,11 +118,11 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["block", "z"])
 
 
-def sketch(texts: DataFrame) -> np.ndarray:
+def sketch(parts: DataFrame) -> np.ndarray:
     """Counters of fixed number (2**SKETCH_BITS) for how many texts have the members hashed to each; never too low."""
-    parts = texts.mapInArrow(_counts, "block int, z binary").repartition(8, "block").mapInArrow(_sum_counts, "block int, z binary").collect()
+    rows = parts.select("block", "z").where("block IS NOT NULL").repartition(8, "block").mapInArrow(_sum_counts, "block int, z binary").collect()
     out = np.zeros((64, (1 << SKETCH_BITS) // 64), np.int32)
-    for r in parts:
+    for r in rows:
         out[r.block] = np.frombuffer(zlib.decompress(r.z), np.int32)
     return out.ravel()
 
@@ -329,12 +329,12 @@ def _verify(t: float):
 def similar_sets(memories: DataFrame, docs: DataFrame, t: float = 0.5, hot: int = 20_000, shards: int | None = None) -> DataFrame:
     """Pairs ``key_a < key_b`` of different sets with a Jaccard similarity of at least ``t``.
 
-    ``memories`` has ``id, content``, ``docs`` the ``id, key`` of the same rows.
+    ``memories`` has ``id, content``, ``docs`` the ``id, key, size`` of the same rows and the parts of the sketch.
     """
     spark = memories.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = memories.select("content").where("content IS NOT NULL")
-    counts = spark.sparkContext.broadcast(sketch(texts))  # 2**SKETCH_BITS counters, however many texts
+    counts = spark.sparkContext.broadcast(sketch(docs))  # 2**SKETCH_BITS counters, however many texts
     posts = texts.mapInArrow(_postings(counts, shards, t, hot), "shard int, key long, size int, sig binary, posts binary")
     cands = posts.repartitionById(shards, F.col("shard")).mapInArrow(_search_shards(t), "key_a long, key_b long").distinct()
     cands = materialise(cands, "candidates")
@@ -354,7 +354,7 @@ def near_duplicates(memories: DataFrame, t: float = 0.5, **how) -> DataFrame:
     are compared once, as one class, and expanded at the end.
     """
     docs = memories.where("content IS NOT NULL").select("id", "content", F.unhex(F.md5(plain_form(F.col("content")))).alias("plain"), F.unhex(F.md5(F.nullif(field_form(F.col("content")), F.lit("")))).alias("fields"))
-    docs = materialise(docs.mapInArrow(_keyed("content"), "id string, plain binary, fields binary, key long, size int"), "docs")
+    docs = materialise(docs.mapInArrow(_read, READ), "docs")
     pairs = materialise(similar_sets(memories.select("id", "content"), docs, t, **how), "pairs")
     # Classes of copies: members of a class are never partners of one another, so no group of copies is squared.
     some = docs.where("size > 0")
