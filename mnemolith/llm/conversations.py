@@ -69,7 +69,7 @@ def conversations(rows: DataFrame) -> DataFrame:
     up = node.where("child IS NOT NULL").select(F.col("child").alias("seq"), F.col("seq").alias("ptr"))
     heads = node.where("parent IS NULL").select("seq")
     place = chain_positions(heads, up)
-    full = node.join(place, "seq").select("head", "turn_no", "seq", "key", "role", "session", "sound", "asks")
+    full = materialise(node.join(place, "seq").select("head", "turn_no", "seq", "key", "role", "session", "sound", "asks"), "placed")
     good = full.groupBy("head").agg(F.min("sound").alias("sound"), F.max("asks").alias("asks")).where("sound AND asks").select("head")
     kept = full.join(good, "head", "left_semi")
     roots = kept.where("turn_no = 0").select("head", F.col("key").alias("root_uuid"))
