@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -43,27 +42,37 @@ CURATED = {
 }
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Spans of the sentences of a text; code fences and front matter are no sentences, nor are bits without words."""
-    skip = [m.span() for m in FENCE.finditer(text)] + [m.span() for m in FRONT.finditer(text)]
+def sentences(text: str) -> list[tuple[int, int, float]]:
+    """Spans of the sentences of a text and their lengths in words; code fences and front matter are no sentences, nor
+    are bits of fewer than three words. Two Han characters count as a word."""
+    cuts = [m.span() for m in BREAK.finditer(text)]
+    if "```" in text:
+        cuts += [m.span() for m in FENCE.finditer(text)]
+    if text.startswith("---"):
+        cuts += [m.span() for m in FRONT.finditer(text)]
+    cuts.sort()
+    cuts.append((len(text), len(text)))
     out, at = [], 0
-    cuts = [m.span() for m in BREAK.finditer(text)] + [(len(text), len(text))] + skip
-    for s, e in sorted(cuts):
-        if s > at and len(WORD.findall(text, at, s)) + len(HAN.findall(text, at, s)) >= 1:
-            words = len(WORD.findall(text, at, s))
-            if words >= 3 or sum(len(h) for h in HAN.findall(text, at, s)) >= 5:
-                out.append((at, s))
-        at = max(at, e)
+    han = HAN.search(text) is not None
+    for s, e in cuts:
+        if s > at:
+            words = text.count(" ", at, s) + 1.0
+            if han:
+                words += sum(len(h) for h in HAN.findall(text, at, s)) / 2
+            if words >= 3:
+                out.append((at, s, words))
+        if e > at:
+            at = e
     return out
 
 
-def terms(sentence: str) -> set[str]:
-    """Candidate terms of a sentence: words of three letters or more, and runs of two to four Han characters."""
-    low = sentence.lower()
-    found = {w for w in WORD.findall(low) if len(w) >= 3 and not HAN.search(w)}
+def terms(text: str) -> set[str]:
+    """Candidate terms: words of three letters or more, and pairs of neighbouring Han characters."""
+    low = text.lower()
+    found = set(WORD.findall(low))
     for run in HAN.findall(low):
-        for n in (2, 3, 4):
-            found.update(run[i : i + n] for i in range(len(run) - n + 1))
+        found.discard(run)
+        found.update(map("".join, zip(run, run[1:])))
     return found
 
 
@@ -84,51 +93,50 @@ class SubjectModel:
 
             a = ahocorasick.Automaton()
             for t, w in self.weights.items():
-                a.add_word(t, (t, tuple(w.items()), bool(HAN.match(t))))
+                (subject, x), = w.items()
+                a.add_word(t, (t, subject, x, bool(HAN.match(t))))
             if self.weights:
                 a.make_automaton()
             self._automaton = a
         return self._automaton
 
     def by_sentence(self, text: str) -> list[tuple[str | None, float]]:
-        """Subject of each sentence (None for none) and its normalised weight."""
+        """Heaviest subject of each sentence (None without any term) and its weight, normalised by length."""
         spans = sentences(text)
         if not spans or not self.weights:
             return [(None, 0.0)] * len(spans)
         low = text.lower()
         if len(low) != len(text):  # a few characters change their length in lower case
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        starts = [s for s, _ in spans]
-        got: list[Counter] = [Counter() for _ in spans]
-        hits = [0] * len(spans)
-        for end, (t, ws, han) in self.automaton.iter(low):
+        n, i, last = len(low), 0, len(spans)
+        got: list[dict] = [{} for _ in spans]
+        for end, (t, subject, w, han) in self.automaton.iter(low):
             begin = end - len(t) + 1
-            if not han and (begin and low[begin - 1].isalpha() or end + 1 < len(low) and low[end + 1].isalpha()):
+            if not han and (begin and low[begin - 1].isalpha() or end + 1 < n and low[end + 1].isalpha()):
                 continue
-            i = bisect_right(starts, begin) - 1
-            if i < 0 or end >= spans[i][1]:
-                continue
-            hits[i] += 1
-            for s, w in ws:
-                got[i][s] += w
+            while i < last and spans[i][1] <= end:  # matches come by their ends
+                i += 1
+            if i == last:
+                break
+            if begin >= spans[i][0]:
+                got[i][subject] = got[i].get(subject, 0.0) + w
         out = []
-        for (s, e), c in zip(spans, got):
+        for (_, _, length), c in zip(spans, got):
             if not c:
                 out.append((None, 0.0))
                 continue
-            subject, w = c.most_common(1)[0]
-            length = len(WORD.findall(low, s, e)) + sum(len(h) for h in HAN.findall(low, s, e)) / 2
-            rest = sum(c.values()) - w
-            w = (w - 0.5 * rest) / math.sqrt(max(length, 4))
-            out.append((subject, w) if w >= self.least else (None, w))
+            subject = max(c, key=c.__getitem__)
+            w = c[subject]
+            out.append((subject, (w - 0.5 * (sum(c.values()) - w)) / math.sqrt(max(length, 4.0))))
         return out
 
-    def shares(self, text: str | None) -> dict[str, float]:
+    def shares(self, text: str | None, least: float | None = None) -> dict[str, float]:
         """Share of the sentences of a text by subject; none for null, blank or unmatched texts."""
         if not text or not text.strip():
             return {}
+        least = self.least if least is None else least
         found = self.by_sentence(text)
-        n = Counter(s for s, _ in found if s)
+        n = Counter(s for s, w in found if s and w >= least)
         return {s: k / len(found) for s, k in n.items()}
 
     def assign(self, text: str | None) -> list[str]:
@@ -169,17 +177,12 @@ def labelled(documents: DataFrame, labels: DataFrame, subjects: list[str], most:
     return [(r.text, tuple(sorted({s for s in r.subjects if s in subjects}))) for r in rows]
 
 
-def _doc_terms(text: str) -> set[str]:
-    spans = sentences(text)
-    return set().union(*(terms(text[s:e]) for s, e in spans)) if spans else set()
-
-
 def fit(examples: list[tuple[str, tuple[str, ...]]], subjects: list[str], min_count: float = 3, purity: float = 0.6) -> SubjectModel:
     """Weights from the curated terms and the labelled documents: how purely a term keeps to the documents of one subject."""
     counts: dict[str, Counter] = defaultdict(Counter)
     total: Counter = Counter()
     for text, own in examples:
-        seen = _doc_terms(text)
+        seen = terms(text)
         for s in own or ("",):
             total[s] += 1 / max(1, len(own))
             for t in seen:
@@ -188,7 +191,7 @@ def fit(examples: list[tuple[str, tuple[str, ...]]], subjects: list[str], min_co
     return SubjectModel(subjects, weights | _weights(counts, total, min_count, purity))
 
 
-def widen(model: SubjectModel, documents: DataFrame, min_count: int = 4, purity: float = 0.5, clear: float = 0.2) -> SubjectModel:
+def widen(model: SubjectModel, documents: DataFrame, min_count: int = 4, purity: float = 0.5, clear: float = 0.2, rarest: int = 5_000) -> SubjectModel:
     """Re-estimate the weights over all documents: terms that keep to documents of one subject join it.
 
     A document counts for the subjects that at least ``clear`` of its sentences are about, by the weights so far; one
@@ -199,31 +202,34 @@ def widen(model: SubjectModel, documents: DataFrame, min_count: int = 4, purity:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        counts: Counter = Counter()
+        counts: dict[tuple[str, int], Counter] = defaultdict(Counter)  # by subject and sixtieths of a document
 
         def flush():
-            keys = list(counts)
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["term", "subject", "n"])
+            rows = Counter()
+            for (s, part), c in counts.items():
+                for t, k in c.items():
+                    if len(t) >= 3 or not t or HAN.match(t):
+                        rows[t, s] += k * part
             counts.clear()
-            return out
+            keys = list(rows)
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([rows[k] for k in keys], pa.int64())], ["term", "subject", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
                 if not text:
                     continue
                 own = [s for s, x in m.shares(text).items() if x >= clear]
-                if not own:
-                    continue
-                part = 60 // len(own)  # sixtieths of a document
-                seen = _doc_terms(text)
-                for s in own:
-                    counts[("", s)] += part
-                    for t in seen:
-                        counts[(t, s)] += part
-                if len(counts) > 500_000:
-                    yield flush()
+                if own:
+                    seen = terms(text)
+                    seen.add("")
+                    for s in own:
+                        counts[s, 60 // len(own)].update(seen)
+            if sum(map(len, counts.values())) > 400_000:
+                yield flush()
         yield flush()
 
+    # A term must be in one of rarest documents at least, so the vocabulary is bounded whatever the number of documents.
+    min_count = max(min_count, documents.count() // rarest)
     n = documents.select("text").where("text IS NOT NULL").mapInArrow(run, "term string, subject string, n long").groupBy("term", "subject").agg(F.sum("n").alias("n"))
     best = n.groupBy("term").agg(F.sum("n").alias("all"), F.max("n").alias("top"), F.map_from_entries(F.collect_list(F.struct("subject", "n"))).alias("by"))
     rows = best.where((F.col("term") == "") | ((F.col("all") >= 60 * min_count) & (F.col("top") >= F.col("all") * 0.25))).select("term", "by").collect()
@@ -242,16 +248,16 @@ def widen(model: SubjectModel, documents: DataFrame, min_count: int = 4, purity:
 def calibrate(model: SubjectModel, examples: list[tuple[str, tuple[str, ...]]]) -> SubjectModel:
     """Set the thresholds of sentence weight and of share of sentences to the best F1 over labelled documents."""
     best = (-1.0, model.share, model.least)
-    for least in (0.1, 0.2, 0.3, 0.4):
-        model.least = least
-        shares = [(model.shares(t), set(own)) for t, own in examples]
-        for share in (0.12, 0.15, 0.175, 0.2, 0.225, 0.25, 0.3):
+    found = [(model.by_sentence(t), set(own)) for t, own in examples]
+    for least in (0.3, 0.2, 0.4, 0.1):
+        shares = [({s: k / len(f) for s, k in Counter(s for s, w in f if s and w >= least).items()}, own) for f, own in found]
+        for share in (0.2, 0.225, 0.175, 0.25, 0.15, 0.3, 0.12):  # about a quarter, unless the labels clearly say otherwise
             hit = miss = wrong = 0
             for x, own in shares:
                 got = {s for s, v in x.items() if v >= share}
                 hit, miss, wrong = hit + len(got & own), miss + len(own - got), wrong + len(got - own)
             f1 = 2 * hit / max(1, 2 * hit + miss + wrong)
-            if f1 > best[0] + 1e-9:
+            if f1 > best[0] + 0.004:
                 best = (f1, share, least)
     model.share, model.least = best[1:]
     return model
