@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Ends of sentences: line breaks (also escaped ones in exports), full stops before a blank, CJK stops.
-BREAK = re.compile(r"(?:\\n|\n|\r)+|[.!?…]+[\"')\]]*\s+|[。！？]+|;\s*\n")
+#: Possible ends of sentences; ``_is_break`` decides. One leading character class lets the search skip quickly.
+BREAK = re.compile(r"[\\\n\r.!?…。！？;][\n\r.!?…。！？;\"')\] \t]*")
 FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 FRONT = re.compile(r"\A---\r?\n.*?\n---\r?\n", re.S)
 WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
@@ -42,10 +42,21 @@ CURATED = {
 }
 
 
+def _is_break(m: re.Match) -> bool:
+    """Line breaks (also escaped ones in exports), CJK stops, and full stops before a blank."""
+    g = m.group()
+    c = g[0]
+    if c in "\n\r。！？" or "\n" in g or "\r" in g:
+        return True
+    if c == "\\":
+        return m.string.startswith("n", m.start() + 1)
+    return c != ";" and (g[-1] in " \t" or any(x in g for x in "。！？"))
+
+
 def sentences(text: str) -> list[tuple[int, int, float]]:
     """Spans of the sentences of a text and their lengths in words; code fences and front matter are no sentences, nor
     are bits of fewer than three words. Two Han characters count as a word."""
-    cuts = [m.span() for m in BREAK.finditer(text)]
+    cuts = [m.span() if m.group()[0] != "\\" else (m.start(), m.start() + 2) for m in BREAK.finditer(text) if _is_break(m)]
     if "```" in text:
         cuts += [m.span() for m in FENCE.finditer(text)]
     if text.startswith("---"):
@@ -53,7 +64,7 @@ def sentences(text: str) -> list[tuple[int, int, float]]:
     cuts.sort()
     cuts.append((len(text), len(text)))
     out, at = [], 0
-    han = HAN.search(text) is not None
+    han = not text.isascii() and HAN.search(text) is not None
     for s, e in cuts:
         if s > at:
             words = text.count(" ", at, s) + 1.0
@@ -70,7 +81,7 @@ def terms(text: str) -> set[str]:
     """Candidate terms: words of three letters or more, and pairs of neighbouring Han characters."""
     low = text.lower()
     found = set(WORD.findall(low))
-    for run in HAN.findall(low):
+    for run in () if low.isascii() else HAN.findall(low):
         found.discard(run)
         found.update(map("".join, zip(run, run[1:])))
     return found
