@@ -3,13 +3,13 @@
 Items larger than a container are cut: all but the last piece fill a container each. The other items are dealt by hash
 to blocks of about ``windows`` containers. Within a block, differencing merges the two partial partitions with the
 largest imbalance, the large sums of the one on the small sums of the other, until one near-equal partition is left.
-The number of windows starts at the lower bound and rises until no sum exceeds the capacity.
+The number of windows starts at the lower bound and rises where the capacity is exceeded.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from bisect import bisect_left, insort
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,15 +59,36 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Positions by container; no sum exceeds ``capacity``, as no size does."""
+    """Positions by container; no sum exceeds ``capacity``, as no size does.
+
+    Differencing at the lower bound of windows; a window above the capacity gives up the smallest item that brings it
+    down to it. Given-up items go to the fullest window with room, and the window count rises for those without one.
+    """
     if not sizes:
         return []
     k = max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes), 1)
-    while True:
-        sets = differencing(sizes, k)
-        if max(sum(sizes[i] for i in s) for s in sets) <= capacity:
-            return sets
-        k += max(1, k // 200)
+    sets = differencing(sizes, k)
+    spare: list[int] = []
+    for s in sets:
+        over = sum(sizes[i] for i in s) - capacity
+        while over > 0:
+            out = min((i for i in s if sizes[i] >= over), key=lambda i: (sizes[i], i), default=None)
+            if out is None:
+                out = max(s, key=lambda i: (sizes[i], -i))
+            s.remove(out)
+            spare.append(out)
+            over -= sizes[out]
+    room = sorted((capacity - sum(sizes[i] for i in s), n) for n, s in enumerate(sets))
+    for i in sorted(spare, key=lambda i: (-sizes[i], i)):
+        at = bisect_left(room, (sizes[i], -1))
+        if at == len(room):
+            sets.append([i])
+            insort(room, (capacity - sizes[i], len(sets) - 1))
+        else:
+            left, n = room.pop(at)
+            sets[n].append(i)
+            insort(room, (left - sizes[i], n))
+    return [s for s in sets if s]
 
 
 def pack_documents(sizes: DataFrame, capacities: dict[str, int], windows: int = 256, most_items: int = 20_000) -> DataFrame:
