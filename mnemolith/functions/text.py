@@ -69,20 +69,22 @@ def category_by_rules(c: Column, cues: dict[str, list[str]] | None = None, cjk_c
         free = [q for q, p in zip(quoted, phrases) if cjk_cues and not p.isascii()]
         pattern = f"(?i){EDGE}(?:{'|'.join(strict)}){EDGE}" + (f"|{'|'.join(free)}" if free else "")
         ladder = F.when(c.rlike(pattern), cat) if ladder is None else ladder.when(c.rlike(pattern), cat)
-    return ladder.when(F.size(keywords(c)) > 0, "knowledge").otherwise("inbox")
+    return ladder.when(F.size(_keyword_words(c)) > 0, "knowledge").otherwise("inbox")
+
+
+def _keyword_words(c: Column) -> Column:
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(KEYWORD), F.lit(0)), F.lower), lambda w: (F.length(w) >= 3) & ~w.isin(KEYWORD_STOP))
 
 
 def keywords(c: Column, most: int = 6) -> Column:
     """Up to ``most`` lower-case keywords: multi-part first, then frequent, long, first seen."""
-    words = F.filter(F.regexp_extract_all(c, F.lit(KEYWORD), F.lit(0)), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(KEYWORD_STOP))
-    low = F.transform(words, F.lower)
-    ranked = F.transform(
-        F.array_distinct(low),
-        lambda w: F.struct(
-            F.when(w.rlike("[-./+]"), 0).otherwise(1).alias("multi"), (-F.size(F.filter(low, lambda x: x == w))).alias("often"), (-F.length(w)).alias("long"), F.array_position(low, w).alias("at"), w.alias("w")
-        ),
-    )
-    return F.coalesce(F.transform(F.slice(F.array_sort(ranked), 1, most), lambda s: s["w"]), F.array().cast("array<string>"))
+
+    def rank(low: Column) -> Column:
+        one = lambda w: F.struct(F.when(w.rlike("[-./+]"), 0).otherwise(1).alias("multi"), F.size(F.array_remove(low, w)).alias("others"), (-F.length(w)).alias("long"), F.array_position(low, w).alias("at"), w.alias("w"))
+        return F.transform(F.slice(F.array_sort(F.transform(F.array_distinct(low), one)), 1, most), lambda s: s["w"])
+
+    # Bound as the variable of an outer lambda, the words are extracted once and not again for each of them.
+    return F.coalesce(F.element_at(F.transform(F.array(_keyword_words(c)), rank), 1), F.array().cast("array<string>"))
 
 
 def terms(c: Column) -> Column:
@@ -139,7 +141,7 @@ def normal_category(c: Column) -> Column:
 
 def normal_tags(tags: Column) -> Column:
     """Tags trimmed, without empty and repeated ones; null gives none."""
-    return F.coalesce(F.array_distinct(F.filter(F.transform(tags, F.trim), lambda t: t.isNotNull() & (t != ""))), F.array().cast("array<string>"))
+    return F.coalesce(F.array_distinct(F.filter(F.transform(tags, lambda t: trim_space(t)), lambda t: t.isNotNull() & (t != ""))), F.array().cast("array<string>"))
 
 
 def edit_tags(tags: Column, add: list[str] = (), remove: list[str] = ()) -> Column:
