@@ -32,6 +32,7 @@ from mnemolith.util import materialise
 WORD = re.compile(r"[^\W_]+")
 SKETCH_BITS = 21
 SIGNATURE_BITS = 384
+PER_TASK = 20_000
 POSTING = np.dtype([("t", "<u8"), ("p", "<u4")])
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -332,7 +333,8 @@ def similar_sets(memories: DataFrame, docs: DataFrame, t: float = 0.5, hot: int
     ``memories`` has ``id, content``, ``docs`` the ``id, key, size`` of the same rows and the parts of the sketch.
     """
     spark = memories.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A task holds its shards' postings in memory: about PER_TASK texts' worth of them, however many texts there are.
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PER_TASK))
     texts = memories.select("content").where("content IS NOT NULL")
     counts = spark.sparkContext.broadcast(sketch(docs))  # 2**SKETCH_BITS counters, however many texts
     posts = texts.mapInArrow(_postings(counts, shards, t, hot), "shard int, key long, size int, sig binary, posts binary")

@@ -185,6 +185,7 @@ def test_entities(spark):
     m = spark.createDataFrame([("c", " Wuhigahiwu planner "), ("gone", "x"), (None, "y"), ("4", None)], "entity_id string, mention_text string")
     got = {tuple(r) for r in entities.same_entities(e, m).collect()}
     assert got == {*itertools.combinations("123", 2), *itertools.combinations("567c", 2), ("9", "a")}
+    assert {tuple(r) for r in entities.same_entities(e, m, hot=2).collect()} == got
     assert entities.same_entities(e.limit(0), m).count() == 0
 
 
