@@ -46,7 +46,7 @@ class _Words(dict):
     """64-bit hash of a word, remembered per worker up to a bound."""
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return h
@@ -77,6 +77,13 @@ def word_pairs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return row[new], pair[new]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that the arrays over a batch's words stay small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def set_keys(n_rows: int, row: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit key of each row's set and the set's size."""
     key = np.zeros(n_rows, np.uint64)
@@ -97,7 +104,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     total = np.zeros(1 << SKETCH_BITS, np.int32)
     names = ["id", "plain", "fields", "key", "size", "block", "z"]
-    for b in batches:
+    for b in _slices(batches):
         texts = b.column("content").to_pylist()
         row, pair = word_pairs(texts)
         key, size = set_keys(len(texts), row, pair)
@@ -134,7 +141,7 @@ def _postings(counts, shards: int, t: float, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = counts.value
         seen: set[int] = set()
-        for b in batches:
+        for b in _slices(batches):
             texts = b.column(0).to_pylist()
             row, pair = word_pairs(texts)
             if not len(row):
@@ -266,7 +273,7 @@ def _search_shards(t: float):
         key, size = np.concatenate(keys), np.concatenate(sizes)
         post = np.concatenate(posts)
         doc = np.repeat(np.arange(len(key)), np.concatenate(counts))
-        del posts, keys, sizes
+        del posts, keys, sizes, counts
         order = np.lexsort((size[doc], post["t"]))
         tok, at = post["t"][order], doc[order]
         pos = post["p"][order]
