@@ -30,12 +30,14 @@ def age(df: DataFrame, ts: str, as_of: datetime) -> DataFrame:
 def coverage_gaps(sessions: DataFrame, states: DataFrame, aliases: DataFrame, as_of: datetime, days: int = 14) -> DataFrame:
     """Projects whose newest session is later than their state: ``project, last_state, last_work, delta_hours, task``.
 
-    ``sessions(entity, task, last_seen)``; ``aliases(project, alias)`` is a short list kept by hand and broadcast as
-    such; ``states(project, updated_at)``. A project without a state has a null ``last_state``.
+    ``sessions(entity, task, last_seen)``; ``aliases(project, alias)`` is a list kept by hand, broadcast up to
+    10,000 rows; ``states(project, updated_at)``. A project without a state has a null ``last_state``.
     """
     recent = sessions.where(F.col("last_seen") >= F.lit(as_of) - F.expr(f"INTERVAL {days} DAYS"))
-    rows = aliases.select("project", F.lower("alias").alias("alias")).where("alias <> ''").limit(10_000)
-    hit = recent.join(F.broadcast(rows), F.contains(F.lower(F.concat_ws(" ", "entity", "task")), F.col("alias")))
+    rows = aliases.select("project", F.lower("alias").alias("alias")).where("alias <> ''")
+    if rows.limit(10_001).count() <= 10_000:  # a longer list is joined without the hint
+        rows = F.broadcast(rows)
+    hit = recent.join(rows, F.contains(F.lower(F.concat_ws(" ", "entity", "task")), F.col("alias")))
     work = hit.groupBy("project").agg(F.max("last_seen").alias("last_work"), F.max_by("task", F.struct("last_seen", "task")).alias("task"))
     out = work.join(states.select("project", F.col("updated_at").alias("last_state")), "project", "left").where("last_state IS NULL OR last_work > last_state")
     return out.withColumn("delta_hours", F.round(F.timestamp_diff("SECOND", F.col("last_state"), F.col("last_work")) / 3600.0, 4))

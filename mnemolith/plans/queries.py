@@ -141,12 +141,12 @@ def s3_prefix(spark, d):
 
 
 @query("SELECT id FROM memories WHERE consumed_mask & 16 = 0 AND phase IN ('organized', 'processed')")
-def p7_pending(spark, d):
+def pred_pending(spark, d):
     return records(spark, d).where(ingest.is_pending(F.col("consumed_mask"), "entity-extract") & F.col("phase").isin("organized", "processed")).select("id")
 
 
 @query("SELECT id, CASE WHEN length(content) > 72 THEN content[1:72] || '...' ELSE content END AS preview FROM memories")
-def p15_preview(spark, d):
+def preview(spark, d):
     return records(spark, d).select("id", T.preview(F.col("content")).alias("preview"))
 
 
@@ -502,3 +502,179 @@ def j12_relation(spark, d):
 @query("SELECT DISTINCT project FROM memories WHERE project <> '' UNION SELECT DISTINCT project FROM documents WHERE project <> ''")
 def u1_projects(spark, d):
     return records(spark, d).select("project").union(table(spark, d, "documents").select("project")).where("project <> ''").distinct()
+
+
+# --- more operators of the same families ----------------------------------------------------------------------------
+
+
+@query("SELECT id, CASE WHEN phase = 'inbox' THEN created_at + INTERVAL 168 HOUR END AS expires_at, coalesce(nullif(scope, ''), 'global') AS scope FROM memories")
+def d5_inbox_defaults(spark, d):
+    return records(spark, d).select("id", F.when(F.col("phase") == "inbox", F.col("created_at") + F.expr("INTERVAL 168 HOURS")).alias("expires_at"), F.coalesce(F.nullif("scope", F.lit("")), F.lit("global")).alias("scope"))
+
+
+@query("SELECT id, CASE WHEN phase = 'inbox' THEN 'processed' ELSE phase END AS phase, CASE WHEN phase = 'inbox' THEN NULL ELSE expires_at END AS expires_at FROM memories")
+def d8_phase_transition(spark, d):
+    inbox = F.col("phase") == "inbox"
+    return records(spark, d).select("id", F.when(inbox, "processed").otherwise(F.col("phase")).alias("phase"), F.when(~inbox, F.col("expires_at")).alias("expires_at"))
+
+
+@query(r"""WITH m AS (SELECT id, regexp_replace(category, '^[ \[\]]+|[ \[\]]+$', '', 'g') c, content FROM memories) SELECT id, c IN ('preferences','decisions','lessons','reminders','habits','skills','feedback','knowledge','people','character','soul','projects','tasks','goals','values','relationships','inbox') AS standard FROM m WHERE c <> ''""")
+def d15_category_audit(spark, d):
+    c = T.normal_category(F.col("category"))
+    return records(spark, d).where("category <> ''").select("id", c.isin(*ingest.CATEGORIES).alias("standard"))
+
+
+@query("SELECT id, created_at FROM memories WHERE created_at >= '2025-06-01' AND created_at <= '2025-06-30' AND source NOT IN ('claude', 'obsidian') AND NOT contains(content, '[[') AND length(content) <= 400")
+def pred_range(spark, d):
+    r = records(spark, d).where(F.col("created_at").between(F.lit(datetime(2025, 6, 1)), F.lit(datetime(2025, 6, 30))) & ~F.col("source").isin("claude", "obsidian"))
+    return r.where(~F.contains("content", F.lit("[[")) & (F.length("content") <= 400)).select("id", "created_at")
+
+
+@query("SELECT m.id FROM memories m WHERE EXISTS (SELECT 1 FROM entity_mentions e JOIN entities n ON n.id = e.entity_id WHERE e.memory_id = m.id AND n.kind = 'person')")
+def pred_semi_join(spark, d):
+    people = table(spark, d, "entities").where("kind = 'person'").select(F.col("id").alias("entity_id"))
+    m = table(spark, d, "entity_mentions").join(people, "entity_id", "left_semi").select(F.col("memory_id").alias("id"))
+    return records(spark, d).join(m, "id", "left_semi").select("id")
+
+
+LINKS = r"""l AS (SELECT DISTINCT doc_id AS s, lower(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS t FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s)\[\[(.*?)\]\]', 1)) t FROM documents) WHERE regexp_replace(t, '^\s+|\s+$', '', 'g') <> ''),
+p AS (SELECT lower(project) t, arg_min(doc_id, struct_pack(created_at, doc_id)) g FROM documents WHERE project <> '' AND created_at IS NOT NULL GROUP BY 1),
+e AS (SELECT s AS source, g AS target FROM l JOIN p USING (t) WHERE s <> g), b AS (SELECT source, target FROM e UNION SELECT target, source FROM e)"""
+
+
+def _edges(spark, d):
+    return graph.resolved_links(documents(spark, d).where("created_at IS NOT NULL OR content IS NOT NULL"), F.when(F.col("created_at").isNotNull(), F.lower("project")))
+
+
+@query("WITH " + LINKS + " SELECT source, target FROM b")
+def j6_backlinks(spark, d):
+    return _edges(spark, d)
+
+
+@query("WITH " + LINKS + " SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM b WHERE source % 3 <> 0 AND target % 3 <> 0")
+def g1_record_graph(spark, d):
+    return graph.undirected(_edges(spark, d), documents(spark, d).where("id % 3 <> 0"))
+
+
+@query("WITH " + LINKS + " SELECT source AS id, count(*) AS links FROM b GROUP BY 1")
+def g8_link_counts(spark, d):
+    return _edges(spark, d).groupBy(F.col("source").alias("id")).agg(F.count("*").alias("links"))
+
+
+@query("WITH " + TOP + ", s AS (SELECT id FROM t ORDER BY n DESC, id LIMIT 1) SELECT id, created_at FROM memories WHERE id IN (SELECT memory_id FROM entity_mentions WHERE entity_id IN (SELECT id FROM s)) ORDER BY created_at DESC NULLS LAST, id LIMIT 20")
+def g5_entity_records(spark, d):
+    m = table(spark, d, "entity_mentions")
+    top = graph.top_entities(table(spark, d, "entities"), m, 1).select(F.col("id").alias("entity_id"))
+    return search.newest(records(spark, d).join(m.join(top, "entity_id", "left_semi").select(F.col("memory_id").alias("id")), "id", "left_semi"), 20).select("id", "created_at")
+
+
+@query("SELECT phase, count(*) AS n, max(length(content)) AS longest FROM memories GROUP BY ROLLUP(phase)")
+def a15_totals(spark, d):
+    return records(spark, d).rollup("phase").agg(F.count("*").alias("n"), F.max(F.length("content")).cast("long").alias("longest"))
+
+
+@query(f"""WITH h AS (SELECT id, content, created_at FROM memories WHERE contains(lower(content), 'rollback') ORDER BY created_at DESC NULLS LAST, id LIMIT 40), w AS (SELECT unnest({TERMS.format('content')}) t FROM h)
+SELECT t AS term, count(*) AS df FROM w WHERE t NOT IN ({GRAPH_STOP}, 'rollback') AND NOT regexp_matches(t, '^[0-9]+$') AND length(t) >= 2 GROUP BY 1 HAVING count(*) >= greatest(3, (SELECT count(*) FROM h) // 2) ORDER BY df DESC, t LIMIT 5""")
+def a17_frequent_terms(spark, d):
+    h = search.newest(records(spark, d).where(F.contains(F.lower("content"), F.lit("rollback"))), 40)
+    return search.frequent_terms(h, ["rollback"])
+
+
+@query("SELECT coalesce(nullif(project, ''), '(none)') AS project, count(*) AS n, string_agg(id, ' ' ORDER BY id) AS ids FROM memories WHERE phase = 'processed' GROUP BY 1")
+def a23_groups(spark, d):
+    return records(spark, d).where("phase = 'processed'").groupBy(F.coalesce(F.nullif("project", F.lit("")), F.lit("(none)")).alias("project")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")), " ").alias("ids"))
+
+
+@query("SELECT id, array_to_string(list_sort(tags), ' ') AS tags, (SELECT count(DISTINCT entity_id) FROM entity_mentions e WHERE e.memory_id = m.id) AS entities FROM memories m")
+def j17_scalar_subquery(spark, d):
+    n = table(spark, d, "entity_mentions").groupBy(F.col("memory_id").alias("id")).agg(F.count_distinct("entity_id").alias("entities"))
+    return records(spark, d).join(n, "id", "left").select("id", F.array_join(F.array_sort("tags"), " ").alias("tags"), F.coalesce("entities", F.lit(0)).alias("entities"))
+
+
+@query("""WITH r AS (SELECT seq, session_id s, nullif(prompt_id, '') q FROM raw_entries WHERE session_id <> ''), l AS (SELECT seq, s, q, last_value(q IGNORE NULLS) OVER (PARTITION BY s ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) p FROM r)
+SELECT seq, s AS session_id FROM l WHERE q IS NOT NULL AND q IS DISTINCT FROM p""")
+def w6_first_turns(spark, d):
+    r = table(spark, d, "raw_entries").where("session_id <> ''").select("seq", "session_id", F.nullif("prompt_id", F.lit("")).alias("q"))
+    before = F.last("q", ignorenulls=True).over(W.partitionBy("session_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
+    return r.withColumn("p", before).where("q IS NOT NULL AND NOT q <=> p").select("seq", "session_id")
+
+
+@query("SELECT id, session_id FROM (SELECT id, session_id, sum(length(content)) OVER (PARTITION BY session_id ORDER BY created_at DESC NULLS LAST, id ROWS UNBOUNDED PRECEDING) u FROM memories WHERE session_id <> '' AND content IS NOT NULL) WHERE u <= 1500")
+def w15_history_trim(spark, d):
+    run = F.sum(F.length("content")).over(W.partitionBy("session_id").orderBy(F.col("created_at").desc_nulls_last(), "id").rowsBetween(W.unboundedPreceding, 0))
+    return records(spark, d).where("session_id <> '' AND content IS NOT NULL").withColumn("u", run).where("u <= 1500").select("id", "session_id")
+
+
+@query("SELECT project, max(updated_at) FILTER (phase = 'organized') AS profile, max(created_at) AS signal, coalesce(max(created_at) > max(updated_at) FILTER (phase = 'organized'), true) AS fresh FROM memories WHERE project <> '' GROUP BY 1")
+def w16_new_signal(spark, d):
+    profile = F.max(F.when(F.col("phase") == "organized", F.col("updated_at")))
+    return records(spark, d).where("project <> ''").groupBy("project").agg(profile.alias("profile"), F.max("created_at").alias("signal")).withColumn("fresh", F.coalesce(F.col("signal") > F.col("profile"), F.lit(True)))
+
+
+@query("SELECT id FROM memories WHERE coalesce(json_extract_string(metadata, '$.superseded_by'), '') <> '' OR coalesce(json_extract_string(metadata, '$.superseded'), '') = 'true'")
+def v2_is_superseded(spark, d):
+    return records(spark, d).where(versioning.is_superseded(F.col("metadata"))).select("id")
+
+
+@query("SELECT id, trigger_at FROM (SELECT id, CASE WHEN phase = 'inbox' THEN 'pending' ELSE 'done' END status, expires_at trigger_at FROM memories) WHERE status = 'pending' AND trigger_at <= TIMESTAMP '2026-01-01'")
+def r13_due(spark, d):
+    r = records(spark, d).select("id", F.when(F.col("phase") == "inbox", "pending").otherwise("done").alias("status"), F.col("expires_at").alias("trigger_at"))
+    return state.due(r, datetime(2026, 1, 1)).select("id", "trigger_at")
+
+
+@query("SELECT id, created_at FROM memories WHERE phase IN ('organized', 'processed') AND consumed_mask & 4 = 0 ORDER BY created_at, id LIMIT 100")
+def r3_backlog(spark, d):
+    r = records(spark, d).where(F.col("phase").isin("organized", "processed") & ingest.is_pending(F.col("consumed_mask"), "enrich-tags"))
+    return r.orderBy("created_at", "id").limit(100).select("id", "created_at")
+
+
+@query("SELECT string_agg(content, chr(10) ORDER BY created_at DESC, id) AS context FROM (SELECT id, content, created_at FROM memories WHERE contains(lower(content), 'rollback') AND created_at IS NOT NULL ORDER BY created_at DESC, id LIMIT 5)")
+def q16_context(spark, d):
+    top = search.newest(records(spark, d).where(F.contains(F.lower("content"), F.lit("rollback")) & F.col("created_at").isNotNull()), 5)
+    key = F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("o"), "id", "content")
+    return top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["content"]), "\n").alias("context"))
+
+
+@query("SELECT session_id, project, last_seen FROM (SELECT session_id, max(project) project, max(created_at) last_seen FROM memories WHERE session_id <> '' GROUP BY 1) WHERE contains(lower(project), 'tor') OR contains(lower(project), 'iron') ORDER BY last_seen DESC NULLS LAST, session_id LIMIT 5")
+def q11_session_views(spark, d):
+    v = state.session_views(records(spark, d))
+    hit = F.contains(F.lower("project"), F.lit("tor")) | F.contains(F.lower("project"), F.lit("iron"))
+    return v.where(hit).orderBy(F.col("last_seen").desc_nulls_last(), "session_id").limit(5).select("session_id", "project", "last_seen")
+
+
+@query("SELECT seq, source, CASE WHEN length(content) > 72 THEN content[1:72] || '...' ELSE content END AS preview FROM raw_entries WHERE starts_with(id, 'a') ORDER BY seq LIMIT 20")
+def s7_event_viewer(spark, d):
+    return table(spark, d, "raw_entries").where(F.col("id").startswith("a")).orderBy("seq").limit(20).select("seq", "source", T.preview(F.col("content")).alias("preview"))
+
+
+@query("SELECT project, phase, count(*) AS n FROM memories WHERE project <> '' GROUP BY project, phase")
+def s24_sql(spark, d):
+    """Any SELECT over the store, by a temporary view."""
+    records(spark, d).createOrReplaceTempView("memories")
+    return spark.sql("SELECT project, phase, count(*) AS n FROM memories WHERE project <> '' GROUP BY project, phase")
+
+
+@query("WITH s AS (SELECT project AS entity, session_id AS task, max(created_at) AS last_seen FROM memories WHERE session_id <> '' AND project <> '' GROUP BY 1, 2), st AS (SELECT project, min(updated_at) AS updated_at FROM memories WHERE project <> '' GROUP BY 1), h AS (SELECT lower(entity) AS project, max(last_seen) AS last_work, arg_max(task, struct_pack(last_seen, task)) AS task FROM s WHERE last_seen >= TIMESTAMP '2026-07-01' - INTERVAL 90 DAY GROUP BY 1) SELECT h.project, st.updated_at AS last_state, h.last_work, h.task, round((date_diff('microsecond', st.updated_at, h.last_work) // 1000000) / 3600.0, 4) AS delta_hours FROM h LEFT JOIN st ON st.project = h.project WHERE st.updated_at IS NULL OR h.last_work > st.updated_at")
+def j14_coverage(spark, d):
+    r = records(spark, d).where("project <> ''")
+    s = r.where("session_id <> ''").groupBy(F.col("project").alias("entity"), F.col("session_id").alias("task")).agg(F.max("created_at").alias("last_seen"))
+    st = r.groupBy("project").agg(F.min("updated_at").alias("updated_at"))
+    names = st.select("project", F.col("project").alias("alias"))
+    gaps = state.coverage_gaps(s.withColumn("task", F.concat(F.lit("#"), "task")), st, names, AS_OF, 90)
+    return gaps.select("project", "last_state", "last_work", F.expr("substring(task, 2)").alias("task"), "delta_hours")
+
+
+@query()
+def r_stream_event_log(spark, d):
+    """The first event of every content, built by a stream of micro-batches."""
+    from mnemolith.streaming.delivery import _glob
+    from mnemolith.streaming.pipeline import consume
+    from mnemolith.util import scratch
+
+    path, out = f"{d}/raw_entries.parquet", scratch(spark, "event-log")
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(_glob(path))
+    consume(stream, lambda b: ingest.event_log(b.select("seq", "content")), out, scratch(spark, "event-log-state")).awaitTermination()
+    return spark.read.schema("hash string, seq long, content string, deliveries long").parquet(f"{out}/batch=*").groupBy("hash").agg(F.min("seq").alias("seq"), F.sum("deliveries").alias("deliveries"))
+
+
+SQL["r_stream_event_log"] = SQL["d2_event_log"]
