@@ -91,3 +91,17 @@ def merge_entities(entities: DataFrame, mentions: DataFrame, merges: DataFrame)
     kept = entities.drop("aliases").join(merged.withColumnRenamed("into", "id"), "id")
     moved = mentions.join(to.withColumnRenamed("id", "entity_id"), "entity_id", "left").withColumn("entity_id", F.coalesce("into", "entity_id")).drop("into")
     return kept, moved
+
+
+def link(edges: DataFrame, pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """``edges(source, target)`` with ``pairs(a, b)`` linked both ways; both ids must exist, repeated links count once."""
+    ids = records.select("id").distinct()
+    ok = pairs.where("a <> b").join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    both = ok.select(F.col("a").alias("source"), F.col("b").alias("target")).unionByName(ok.select(F.col("b").alias("source"), F.col("a").alias("target")))
+    return edges.select("source", "target").unionByName(both).distinct()
+
+
+def unlink(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``edges`` without ``pairs(a, b)`` in either direction."""
+    gone = pairs.select(F.col("a").alias("source"), F.col("b").alias("target")).unionByName(pairs.select(F.col("b").alias("source"), F.col("a").alias("target")))
+    return edges.join(gone.distinct(), ["source", "target"], "left_anti")

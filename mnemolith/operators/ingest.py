@@ -101,3 +101,22 @@ def numbered(df: DataFrame, by: str, name: str = "n") -> DataFrame:
     offsets = ranged.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))  # a row per partition
     local = F.row_number().over(Window.partitionBy("_p").orderBy(by))
     return ranged.withColumn("_n", local).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_n") + F.col("_o")).drop("_p", "_n", "_o")
+
+
+def by_prefix(records: DataFrame, prefix: str) -> DataFrame:
+    """The record with this id, else the only one whose id starts with it; several are an error, none is empty."""
+    exact = records.where(F.col("id") == prefix)
+    if not exact.isEmpty():
+        return exact
+    hits = records.where(F.col("id").startswith(prefix))
+    n = len(hits.select("id").distinct().limit(2).collect())
+    if n > 1:
+        raise ValueError(f"ambiguous id {prefix!r}")
+    return hits
+
+
+def with_reads(records: DataFrame, reads: DataFrame) -> DataFrame:
+    """Records with the read events ``(id, at)`` folded into ``access_count`` and ``updated_at``."""
+    r = reads.groupBy("id").agg(F.count("*").alias("_n"), F.max("at").alias("_at"))
+    out = records.join(r, "id", "left")
+    return out.withColumns({"access_count": (F.coalesce("access_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("int"), "updated_at": F.greatest("updated_at", "_at")}).drop("_n", "_at")

@@ -76,3 +76,11 @@ def inherited_prompts(rows: DataFrame, most_rounds: int = 40) -> DataFrame:
             break  # only cycles are left
         cur = new
     return cur.select(F.col("u").alias("message_uuid"), "prompt")
+
+
+def chunk_project(chunked: DataFrame, session: str = "session_id", chunk: str = "chunk_no", project: str = "project", order: str = "created_at", tie: str = "id") -> DataFrame:
+    """``session, chunk, project``: the project all rows of a chunk share, else the first one of the session ('' if none)."""
+    named = F.nullif(F.col(project), F.lit(""))
+    first = chunked.groupBy(session).agg(F.min_by(named, F.when(named.isNotNull(), F.struct(order, tie))).alias("_first"))
+    per = chunked.groupBy(session, chunk).agg(F.count_distinct(F.coalesce(F.col(project), F.lit(""))).alias("_n"), F.max(named).alias("_own"))
+    return per.join(first, session).select(session, chunk, F.coalesce(F.when(F.col("_n") == 1, F.col("_own")), "_first", F.lit("")).alias(project))

@@ -58,3 +58,13 @@ def session_views(records: DataFrame) -> DataFrame:
     """Deterministic part of a session's digest: first and last seen, records, roles, projects."""
     r = records.where(F.coalesce("session_id", F.lit("")) != "")
     return r.groupBy("session_id").agg(F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"), F.count("*").alias("records"), F.count_distinct("project").alias("projects"), F.max("project").alias("project"))
+
+
+def complete_graduation(rows: DataFrame, entry: int, pointer: str, at: datetime) -> DataFrame:
+    """Archive an open entry with a pointer to where the fact went; a blank pointer or an entry that isn't open is an error."""
+    if not pointer.strip():
+        raise ValueError("a pointer is needed")
+    if rows.where((F.col("id") == entry) & F.col("archived_at").isNull()).isEmpty():
+        raise ValueError(f"no open entry {entry}")
+    hit = F.col("id") == entry
+    return rows.withColumns({"archived_at": F.when(hit, F.lit(at)).otherwise(F.col("archived_at")), "pointer": F.when(hit, F.lit(pointer)).otherwise(F.col("pointer"))})

@@ -180,3 +180,44 @@ def test_budget_and_quota(spark):
     assert search.within_budget(df, 25, F.col("id")).count() == 2
     assert search.phase_quota(df, {"inbox": 3}, F.col("id")).count() == 3
     assert search.round_robin(df, "phase", 2, F.col("id")).count() == 2
+
+
+def test_links_by_hand(spark):
+    r = spark.createDataFrame([("1",), ("2",)], "id string")
+    none = spark.createDataFrame([], "source string, target string")
+    p = spark.createDataFrame([("1", "2"), ("1", "9"), ("2", "2")], "a string, b string")
+    e = graph.link(none, p, r)
+    assert {tuple(x) for x in e.collect()} == {("1", "2"), ("2", "1")}
+    assert graph.unlink(e, p).count() == 0
+
+
+def test_lookups(spark):
+    r = spark.createDataFrame([("ab1", 2, T0), ("ab2", None, T0), ("ab", 0, T0)], "id string, access_count int, updated_at timestamp")
+    assert ingest.by_prefix(r, "ab").head().id == "ab" and ingest.by_prefix(r, "ab1").count() == 1 and ingest.by_prefix(r, "x").count() == 0
+    with pytest.raises(ValueError):
+        ingest.by_prefix(r, "a")
+    seen = ingest.with_reads(r, spark.createDataFrame([("ab1", T0 + timedelta(days=1))] * 2, "id string, at timestamp"))
+    assert {x.id: x.access_count for x in seen.collect()} == {"ab1": 4, "ab2": 0, "ab": 0}
+
+
+def test_chunk_project(spark):
+    rows = [("s", 0, "p", T0, "1"), ("s", 0, "p", T0, "2"), ("s", 1, "q", T0, "3"), ("s", 1, "", T0, "4"), ("t", 0, None, T0, "5")]
+    df = spark.createDataFrame(rows, "session_id string, chunk_no int, project string, created_at timestamp, id string")
+    assert {(r.session_id, r.chunk_no): r.project for r in sessions.chunk_project(df).collect()} == {("s", 0): "p", ("s", 1): "p", ("t", 0): ""}
+
+
+def test_graduation(spark):
+    q = spark.createDataFrame([(1, "fact", None, None)], "id int, fact string, archived_at timestamp, pointer string")
+    done = state.complete_graduation(q, 1, "docs/x", T0)
+    assert done.head().archived_at == T0
+    for rows, pointer in ((q, " "), (done, "again")):
+        with pytest.raises(ValueError):
+            state.complete_graduation(rows, 1, pointer, T0)
+
+
+def test_empty_tables(spark):
+    empty = spark.createDataFrame([], "id string, content string, created_at timestamp, tags array<string>, scope string, source string, access_count int, phase string, category string, project string, metadata string, consumed_mask long, session_id string")
+    assert search.bm25_search(empty, "a").count() == 0 and search.smart_search(empty, "a", T0).count() == 0 and search.expansion_search(empty, "abc").count() == 0
+    assert versioning.superseded(empty).count() == 0 and versioning.unique_by_fingerprint(empty).count() == 0
+    assert stats.consumer_matrix(empty).count() == 0 and stats.heatmap(empty, "created_at").count() == 0 and stats.verdict_evidence(empty).count() == 0
+    assert sessions.pending(empty, 4).count() == 0 and graph.link_edges(empty).count() == 0 and ingest.numbered(empty.select("id"), "id").count() == 0
