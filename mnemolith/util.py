@@ -84,3 +84,12 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(path)  # sent by the driver's file server
     sc._mnemolith_shipped = True
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores if the input has fewer partitions than there are cores, as small single files have.
+
+    Larger inputs have more partitions than that and are left alone, so no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
