@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemolith.llm.copies import field_form, plain_form
-from mnemolith.util import materialise
+from mnemolith.util import materialise, spread
 
 WORD = re.compile(r"[^\W_]+")
 SKETCH_BITS = 21
@@ -342,7 +342,7 @@ def similar_sets(memories: DataFrame, docs: DataFrame, t: float = 0.5, hot: int
     spark = memories.sparkSession
     # A task holds its shards' postings in memory: about PER_TASK texts' worth of them, however many texts there are.
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PER_TASK))
-    texts = memories.select("content").where("content IS NOT NULL")
+    texts = spread(memories.select("content").where("content IS NOT NULL"))
     counts = spark.sparkContext.broadcast(sketch(docs))  # 2**SKETCH_BITS counters, however many texts
     posts = texts.mapInArrow(_postings(counts, shards, t, hot), "shard int, key long, size int, sig binary, posts binary")
     cands = posts.repartitionById(shards, F.col("shard")).mapInArrow(_search_shards(t), "key_a long, key_b long").distinct()
@@ -362,7 +362,7 @@ def near_duplicates(memories: DataFrame, t: float = 0.5, **how) -> DataFrame:
     Null contents, and texts with fewer than two words, have an empty set and no partner. Ids must be unique; copies
     are compared once, as one class, and expanded at the end.
     """
-    docs = memories.where("content IS NOT NULL").select("id", "content", F.unhex(F.md5(plain_form(F.col("content")))).alias("plain"), F.unhex(F.md5(F.nullif(field_form(F.col("content")), F.lit("")))).alias("fields"))
+    docs = spread(memories.select("id", "content").where("content IS NOT NULL")).select("id", "content", F.unhex(F.md5(plain_form(F.col("content")))).alias("plain"), F.unhex(F.md5(F.nullif(field_form(F.col("content")), F.lit("")))).alias("fields"))
     docs = materialise(docs.mapInArrow(_read, READ), "docs")
     pairs = materialise(similar_sets(memories.select("id", "content"), docs, t, **how), "pairs")
     # Classes of copies: members of a class are never partners of one another, so no group of copies is squared.

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemolith.util import spread
+
 #: Possible ends of sentences; ``_is_break`` decides. One leading character class lets the search skip quickly.
 BREAK = re.compile(r"[\\\n\r.!?…。！？;][\n\r.!?…。！？;\"')\] \t]*")
 FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
@@ -241,7 +243,7 @@ def widen(model: SubjectModel, documents: DataFrame, min_count: int = 4, purity:
 
     # A term must be in one of rarest documents at least, so the vocabulary is bounded whatever the number of documents.
     min_count = max(min_count, documents.count() // rarest)
-    n = documents.select("text").where("text IS NOT NULL").mapInArrow(run, "term string, subject string, n long").groupBy("term", "subject").agg(F.sum("n").alias("n"))
+    n = spread(documents.select("text").where("text IS NOT NULL")).mapInArrow(run, "term string, subject string, n long").groupBy("term", "subject").agg(F.sum("n").alias("n"))
     best = n.groupBy("term").agg(F.sum("n").alias("all"), F.max("n").alias("top"), F.map_from_entries(F.collect_list(F.struct("subject", "n"))).alias("by"))
     rows = best.where((F.col("term") == "") | ((F.col("all") >= 60 * min_count) & (F.col("top") >= F.col("all") * 0.25))).select("term", "by").collect()
     by = {r.term: Counter({s: k / 60 for s, k in r.by.items()}) for r in rows}
@@ -303,7 +305,7 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, mod
                     subjects.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field("doc_id").type), pa.array(subjects, pa.string())], ["doc_id", "subject"])
 
-    rows = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = spread(documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"))
     if only_unlabelled:
         rows = rows.join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
     return rows.mapInArrow(run, f"doc_id {rows.dtypes[0][1]}, subject string").distinct()

@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from mnemolith.util import spread
+
 #: Where the vocabulary files of the public tokenizers are.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 #: The published splitting pattern of this vocabulary (fixed value).
@@ -175,7 +177,7 @@ def encode_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
                 ends, ids = e.encode(c.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
-    rows = documents.select(documents[doc_id].alias("doc_id"), documents[text].alias("text"))
+    rows = spread(documents.select(documents[doc_id].alias("doc_id"), documents[text].alias("text")))
     return rows.mapInArrow(run, f"doc_id {rows.dtypes[0][1]}, ids array<int>")
 
 
@@ -190,5 +192,5 @@ def count_tokens(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
                 ends, _ = e.encode(c.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(np.diff(ends).astype(np.int32))], ["doc_id", "tokens"])
 
-    rows = documents.select(documents[doc_id].alias("doc_id"), documents[text].alias("text"))
+    rows = spread(documents.select(documents[doc_id].alias("doc_id"), documents[text].alias("text")))
     return rows.mapInArrow(run, f"doc_id {rows.dtypes[0][1]}, tokens int")
