@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemolith.util import spread
+from mnemolith.operators.components import components
+from mnemolith.util import materialise, spread
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -69,7 +70,7 @@ def hashed(memories: DataFrame, **names: str) -> DataFrame:
 
 
 def collapse(memories: DataFrame) -> DataFrame:
-    """One row per distinct plain form: ``id`` (smallest of the copies), ``copies``, ``clean`` (no hash collision found).
+    """One row per distinct plain form, field order left out (see ``collapse_dress``): ``id`` (smallest of the copies), ``copies``, ``clean`` (no hash collision found).
 
     Null contents take no part; contents without any letter or digit form one group. Counting is a hash aggregate with
     map-side combining, so a form that holds a third of all rows is no hot group.
@@ -77,6 +78,25 @@ def collapse(memories: DataFrame) -> DataFrame:
     return hashed(memories).where("kind = 'plain'").groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("copies"), ((F.min("len") == F.max("len")) & (F.min("h2") == F.max("h2"))).alias("clean")).select("id", "copies", "clean")
 
 
+def collapse_dress(memories: DataFrame) -> DataFrame:
+    """One row per set of records that differ only in dress, order of named fields included: ``id`` (smallest), ``copies``.
+
+    Plain forms are classed together where they share a field form, and the classes close to components, as the pairs
+    of ``copy_pairs`` do. Texts are read once and counted by both forms map-side; only field forms that go with several
+    plain forms are edges, so most forms never enter the components. Keys are hash, length and second hash together.
+    Null contents take no part; contents without any letter or digit form one set.
+    """
+    rows = spread(memories.select("id", F.col("content").alias("t")).where("t IS NOT NULL"))
+    rows = rows.select("id", plain_form(F.col("t")).alias("plain"), F.nullif(field_form(F.col("t")), F.lit("")).alias("fields"))
+    key = lambda kind: F.when(F.col(kind).isNotNull(), F.concat_ws("|", F.lit(kind), F.md5(F.col(kind)), F.length(kind), F.xxhash64(kind)))
+    by = materialise(rows.select("id", key("plain").alias("p"), key("fields").alias("f")).groupBy("p", "f").agg(F.min("id").alias("id"), F.count("*").alias("n")), "dress")
+    edges = by.where("f IS NOT NULL").select("p", "f")
+    shared = edges.groupBy("f").agg(F.count("*").alias("k")).where("k > 1").select("f")
+    classes = components(edges.join(shared, "f", "left_semi").select(F.col("p").alias("u"), F.col("f").alias("v"))).select(F.col("node").alias("p"), "root")
+    plain = by.groupBy("p").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
+    return plain.join(classes, "p", "left").groupBy(F.coalesce("root", "p").alias("root")).agg(F.min("id").alias("id"), F.sum("n").alias("copies")).select("id", "copies")
+
+
 def copy_pairs(memories: DataFrame) -> DataFrame:
     """All pairs ``memory_a < memory_b`` with the same plain form or the same named fields.
 

@@ -65,6 +65,11 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse(table(spark, d, "memories")).select("id", "copies")
 
 
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    """The sets of p5_found with their number of copies; p5_collapsed, as its SQL, leaves the order of fields out."""
+    return copies.collapse_dress(table(spark, d, "memories"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return entities.same_entities(table(spark, d, "entities"), table(spark, d, "entity_mentions"))
 
@@ -95,7 +100,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("subject").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_lift, p2_found, p2_groups, p3_found, p3_redacted, p4_found, p4_turns, p5_found, p5_collapsed, p7_found, p8_ids, p9_pack, p9_fill, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_lift, p2_found, p2_groups, p3_found, p3_redacted, p4_found, p4_turns, p5_found, p5_collapsed, p5_records, p7_found, p8_ids, p9_pack, p9_fill, p10_found, p10_shares)}
 
 _PAIRS = """
 WITH m AS (SELECT DISTINCT entity_id e, memory_id m FROM entity_mentions WHERE entity_id IS NOT NULL AND memory_id IS NOT NULL),

@@ -57,6 +57,26 @@ def test_copies(spark):
     assert copies.copy_pairs(df.limit(0)).count() == 0
 
 
+def test_copies_in_any_field_order(spark):
+    rnd = random.Random(5)
+    rows, label = [], {}
+    for i in range(300):
+        n = rnd.randrange(40)
+        fields = [("owner", f"ann {n}"), ("task", f"fix {n % 7}"), ("due", f"day {n % 3}")]
+        rnd.shuffle(fields)
+        t = rnd.choice([lambda f: "; ".join(f"{k}={v}" for k, v in f), lambda f: "\n".join(f"- **{k.upper()}**: {v}" for k, v in f), lambda f: "{" + ", ".join(f'"{k}": "{v}"' for k, v in f) + "}"])(fields)
+        rows.append((f"r{i:03}", t))
+        label[f"r{i:03}"] = n
+    rows += [("z1", "prose, as it is"), ("z2", "Prose as it is."), ("z3", None), ("z4", " "), ("z5", "…")]
+    label |= {"z1": "prose", "z2": "prose", "z4": "", "z5": ""}
+    exp = defaultdict(list)
+    for i, n in label.items():
+        exp[n].append(i)
+    got = {r.id: r.copies for r in copies.collapse_dress(spark.createDataFrame([(*r, "k", "h") for r in rows], MEM)).collect()}
+    assert got == {min(ids): len(ids) for ids in exp.values()}
+    assert copies.collapse_dress(spark.createDataFrame([], MEM)).count() == 0
+
+
 def edited(rnd, words, n):
     out = list(words)
     for _ in range(n):
