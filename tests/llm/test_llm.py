@@ -157,6 +157,17 @@ def test_pii_bootstraps_unknown_names(spark):
     assert [t[s:e] for t in ["Zorblina Merrowick came"] for s, e, k in pii.find(m, t)] == ["Zorblina Merrowick"]
 
 
+def test_pii_bootstraps_leads_of_addresses_and_id_numbers(spark):
+    streets = ["Quarryside Hill", "Bramble Lane", "Foxglove Road", "Tanner Street", "Millbrook Court", "Heron Close", "Alder Way", "Copper Row"]
+    rows = [(f"The van goes over to {i + 3} {s}. Nobody waits.",) for i, s in enumerate(streets)] + [(f"Her Zollkennung lautet QQ77450{i}C today.",) for i in range(8)]
+    rows += [(f"We went back in row {i} of the table, entry no {7_654_321 + i} was read.",) for i in range(20)]
+    m = pii.learn(spark.createDataFrame(rows, "content string"))
+    found = lambda t: [(t[s:e], k) for s, e, k in pii.find(m, t)]
+    assert found("The van goes over to 91 larkspur lane. Nobody waits.") == [("91 larkspur lane", "address")]
+    assert found("Her Zollkennung lautet 99 8812 7731 today.") == [("99 8812 7731", "id_number")]
+    assert found("We went back in row 31 of the table, entry no 7654399 was read.") == []
+
+
 # --- 4 --------------------------------------------------------------------------------------------------------------
 
 
