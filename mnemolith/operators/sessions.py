@@ -56,6 +56,17 @@ def pending(records: DataFrame, bit: int, limit: int | None = None) -> DataFrame
     return out.orderBy("first", "session_id").limit(limit) if limit else out
 
 
+def one_per_message(rows: DataFrame) -> DataFrame:
+    """``message_uuid, parent_uuid, prompt_id`` of the first row (by ``seq``) of every message, ids without their dress.
+
+    Case and blanks around an id don't tell messages apart; ids of any length count, blank ones are no message.
+    """
+    from mnemolith.util import key_of
+
+    keyed = rows.select(key_of(F.col("message_uuid")).alias("message_uuid"), key_of(F.col("parent_uuid")).alias("parent_uuid"), "prompt_id", "seq").where("message_uuid IS NOT NULL")
+    return keyed.groupBy("message_uuid").agg(F.min_by(F.struct("parent_uuid", "prompt_id"), "seq").alias("v")).select("message_uuid", "v.*")
+
+
 def inherited_prompts(rows: DataFrame, most_rounds: int = 40) -> DataFrame:
     """Nearest prompt id up the parent chain: ``(message_uuid, prompt)`` for ``rows(message_uuid, parent_uuid, prompt_id)``.
 

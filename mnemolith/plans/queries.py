@@ -417,6 +417,12 @@ def j9_inherited_prompts(spark, d):
     return sessions.inherited_prompts(one)
 
 
+@query()
+def j9_prompts_by_key(spark, d):
+    """j9_inherited_prompts compares ids as stored and leaves out those of another length; here all messages take part."""
+    return sessions.inherited_prompts(sessions.one_per_message(table(spark, d, "raw_entries")))
+
+
 @query("SELECT session_id, min(created_at) AS first_seen, max(created_at) AS last_seen, count(*) AS records, count(DISTINCT project) AS projects, max(project) AS project FROM memories WHERE session_id <> '' GROUP BY 1")
 def r11_session_views(spark, d):
     return state.session_views(records(spark, d))

@@ -31,6 +31,13 @@ def test_query_equals_sql(spark, name):
     assert sorted((tuple(map(norm, r)) for r in df.collect()), key=repr) == sorted((tuple(norm(r[i]) for i in order) for r in cur.fetchall()), key=repr)
 
 
+def test_prompts_by_key(spark):
+    rows = [("A-1", None, "p1", 1), (" a-1\u00a0", "x", "p9", 5), ("b-2", " A-1 ", None, 2), ("C-3", "B-2", "", 3), ("d-4", "gone", None, 4), ("e-5", "f-6", None, 6), ("f-6", "E-5", None, 7), ("g-7", None, "p2", 8), ("h-8", "g-7 ", "p3", 9), (" ", None, "p4", 10), (None, None, "p5", 11)]
+    raw = spark.createDataFrame(rows, "message_uuid string, parent_uuid string, prompt_id string, seq long")
+    got = {r.message_uuid: r.prompt for r in entry.core.sessions.inherited_prompts(entry.core.sessions.one_per_message(raw)).collect()}
+    assert got == {"a-1": "p1", "b-2": "p1", "c-3": "p1", "d-4": None, "e-5": None, "f-6": None, "g-7": "p2", "h-8": "p3"}
+
+
 def test_entry(spark):
     if os.path.isdir(D):
         assert entry.entry(spark).columns == ["id", "score"]
