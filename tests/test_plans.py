@@ -38,6 +38,13 @@ def test_prompts_by_key(spark):
     assert got == {"a-1": "p1", "b-2": "p1", "c-3": "p1", "d-4": None, "e-5": None, "f-6": None, "g-7": "p2", "h-8": "p3"}
 
 
+@pytest.mark.skipif(not os.path.isdir(D), reason="needs the test tables")
+def test_all_records_are_nodes(spark):
+    links = {(min(r), max(r)) for r in entry.queries()["j6_backlinks"](spark, D).collect()}
+    got = [tuple(r) for r in entry.queries()["g1_all_records"](spark, D).collect()]
+    assert len(got) == len(set(got)) and set(got) == links and any(a % 3 == 0 or b % 3 == 0 for a, b in links)
+
+
 def test_entry(spark):
     if os.path.isdir(D):
         assert entry.entry(spark).columns == ["id", "score"]
