@@ -1,11 +1,13 @@
 """Problem 7: rows that stand for the same person, company or thing, by a trie join over their names.
 
-Every written form of an entity (name, alias, mention) is split into its rare part, the family name or the coined word,
-and its common parts: given name, line of business, component. Common words are a short list widened by words that go
-with many different partners. The rare parts are sharded by their first and by their last three letters, one of which
-any single edit leaves intact; each shard's trie is walked with a Levenshtein automaton, and neighbours are the same
-if their common parts agree in any order, abbreviated, as initial, or as nickname. Forms that fit several full names
-link nothing. Links close to components.
+Every written form of an entity (name, alias, mention) is split into a rare part, the family name or the coined word,
+and its other parts: given name, line of business, component. Words are common if they go with a share of all names; a
+form of common words only keeps the rarest of them as its rare part. Unknown words of a form that shows no person are
+tried as rare parts one by one. The rare parts are sharded by their first and by their last letters, one of which any
+single edit leaves intact; each shard's trie is walked with a Levenshtein automaton, and neighbours are the same if
+their other parts agree in any order, abbreviated, as initial, or as nickname. Rare parts of fewer than five letters,
+and Han ones, must be equal, as one edit makes another name of them. Forms that fit several full names link nothing.
+Links close to components.
 """
 
 from __future__ import annotations
@@ -25,11 +27,9 @@ from mnemolith.util import materialise, trim_blanks
 #: Words without meaning for identity.
 STOP = set("the of company co and".split())
 LEGAL = re.compile(r"\b(?:ltd|gmbh|ag|inc|llc|plc|corp|kg|se|s\.\s?a|b\.\s?v|s\.\s?r\.\s?l|sa|bv)\b\.?", re.I)
-#: Lines of business and kinds of companies, with customary short forms.
-BUSINESS = set("works industries logistics consulting instruments holdings systems laboratories partners cooperative services trading group meadow harbour textile optical copper tidal freight signal polar grain lantern ceramic".split())
-SHORT = {"wks": "works", "labs": "laboratories", "ptnrs": "partners", "coop": "cooperative"}
-#: Parts of products.
-PARTS = set("index planner viewer console gateway relay sync store bridge agent".split())
+#: Kinds of companies, with customary short forms; lines of business are learned.
+BUSINESS = set("works industries logistics consulting instruments holdings systems laboratories partners cooperative services trading group enterprises solutions associates brothers foundation international technologies bank insurance".split())
+SHORT = {"wks": "works", "labs": "laboratories", "ptnrs": "partners", "coop": "cooperative", "intl": "international", "bros": "brothers", "assoc": "associates", "tech": "technologies", "svcs": "services", "inds": "industries"}
 #: Given names with customary nicknames.
 NICKNAMES = {
     "alexander": "alex alec sasha sandy", "charlotte": "lottie charlie", "chloe": "clo", "dominique": "domi didi nick", "edith": "edie", "elizabeth": "liz lizzie beth betty eliza", "francisco": "pancho paco fran", "frederick": "fred freddy freddie fritz",
@@ -106,72 +106,89 @@ class Trie:
 
 CAMEL = re.compile(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ])")
 TOKEN = re.compile(r"[^\W\d_]+\.?")
+HAN = re.compile(r"[㐀-鿿]")
+HAN_BLANK = re.compile(r"(?<=[㐀-鿿])[\s·・]+(?=[㐀-鿿])")
+
+
+def elastic(word: str) -> bool:
+    """Whether one edit may turn the word into a misspelling of itself rather than into another name."""
+    return len(word) >= 5 and not HAN.match(word)
 
 
 class Parser:
-    """Splits written forms into kind, rare part and common parts."""
+    """Splits written forms into kind, rare part and other parts; ``common`` are words by their number of partners."""
 
-    def __init__(self, more: frozenset[str] = frozenset()) -> None:
-        self.more = more
-        self.common = BUSINESS | PARTS | set(GIVEN) | set(SHORT) | set(more)
+    def __init__(self, common: dict[str, int] | None = None) -> None:
+        self.learned = {w: n for w, n in (common or {}).items() if w not in BUSINESS and w not in GIVEN and w not in SHORT}
+        self.common = BUSINESS | set(GIVEN) | set(SHORT) | set(self.learned)
         self.givens = Trie([g for g in GIVEN if len(g) >= 5])
         self.long = sorted((w for w in self.common if len(w) >= 4), key=lambda w: (-len(w), w))
 
-    def parse(self, form: str | None) -> tuple[str, str, str] | None:
-        """(kind, rare part, common parts joined by blanks), or None if the form names nothing by itself.
+    def parse(self, form: str | None) -> list[tuple[str, str, str]]:
+        """``(kind, rare part, other parts joined by blanks)`` for each word that may be the rare part.
 
-        Kinds: person, company, part, other (an unknown common part), code (a coined word alone). Null, blank and
-        short forms such as acronyms give None.
+        Kinds: person, company, part (an abbreviated common part), other (none of these), code (a word alone). Null and
+        blank forms give none, nor do lone Latin words of fewer than five letters: these are acronyms as often as names.
         """
         if not form:
-            return None
-        text = plain(CAMEL.sub(" ", LEGAL.sub(" ", form.strip())))
+            return []
+        legal = LEGAL.search(form) is not None
+        text = plain(CAMEL.sub(" ", LEGAL.sub(" ", HAN_BLANK.sub("", form.strip()))))
         toks = [t for t in TOKEN.findall(text.replace("_", " ").replace("’", "")) if t.rstrip(".") not in STOP]
         inner = text.rstrip()
+        # A dot between two long words joins them: name.part
         toks = [t.rstrip(".") if t.endswith(".") and len(t) > 6 or t == toks[-1] and not inner.endswith(".") else t for t in toks]
-        # a dot between two long words joins them: name.part
         common, rare = [], []
         for t in toks:
             w = t.rstrip(".")
             if w in self.common:
                 common.append(SHORT.get(w, w))
-            elif len(w) == 1:
+            elif len(w) == 1 and not HAN.match(w):
                 common.append(w + ".")
             elif t.endswith(".") and len(w) <= 5:
                 common.append(w + ".")
             else:
                 rare.append(w)
-        if len(rare) == 1 and (not common or any(c in BUSINESS for c in common)):
+        company = legal or any(c in BUSINESS for c in common)
+        if len(rare) == 1 and (not common or company):
             cut = self._cut(rare[0], bool(common))
             if cut:
                 rare, common = [cut[0]], common + [cut[1]]
-        if len(rare) > 1:
+                company = company or cut[1] in BUSINESS
+        if len(rare) > 1 and not company and not any(c in GIVEN for c in common):
             for i, w in enumerate(rare):  # a misspelt given name
                 if len(w) >= 4 and (near := self.givens.near(w)):
                     common.append(near[0])
                     del rare[i]
                     break
-        if len(rare) > 1:  # unknown words: the longest is the rare one
-            rare.sort(key=lambda w: (len(w), w))
-            common += rare[:-1]
-            rare = rare[-1:]
-        if not rare or len(rare[0]) < 5:
-            return None
+        if not rare:  # common words only: the rarest of the learned ones stands for the form
+            known = [c for c in common if c in self.learned]
+            if not known:
+                return []
+            key = min(known, key=lambda w: (self.learned[w], -len(w), w))
+            common.remove(key)
+            rare = [key]
         common = [GIVEN.get(c, c) for c in common]
-        if any(c in GIVEN for c in common):
-            given = next(c for c in common if c in GIVEN)
-            return "person", rare[0], given
-        if not common:
-            return "code", rare[0], ""
-        if any(c in PARTS for c in common) and not any(c in BUSINESS for c in common):
-            return "part", rare[0], " ".join(sorted(set(common)))
-        if any(c in BUSINESS for c in common):
-            return "company", rare[0], " ".join(sorted(set(common)))
-        if all(len(c) == 2 and c.endswith(".") for c in common):
-            return "person", rare[0], common[0]
-        if all(c.endswith(".") for c in common):
-            return "part", rare[0], " ".join(sorted(set(common)))
-        return "other", rare[0], " ".join(sorted(set(common)))
+        given = next((c for c in common if c in GIVEN), None)
+        if given and not company:  # of several unknown words the longest is the family name
+            return [("person", max(rare, key=lambda w: (len(w), w)), given)]
+        if not common and len(rare) == 1:
+            return [("code", rare[0], "")] if len(rare[0]) >= 5 or HAN.match(rare[0]) and len(rare[0]) > 1 else []
+        out = []
+        for key in dict.fromkeys(rare):
+            rest = sorted({*common, *rare} - {key})
+            if not rest:
+                continue
+            if company:
+                kind = "company"
+            elif all(len(c) == 2 and c.endswith(".") for c in rest):
+                kind, rest = "person", [c for c in common if c in rest][:1]
+            elif all(c.endswith(".") for c in rest):
+                kind = "part"
+            else:
+                kind = "other"
+            out.append((kind, key, " ".join(rest)))
+        return out
 
     def _cut(self, word: str, company: bool) -> tuple[str, str] | None:
         for c in self.long:
@@ -179,7 +196,7 @@ class Parser:
                 continue
             if not company and c in GIVEN and word.startswith(c) and len(c) >= 5:
                 return word[len(c) :], c
-            if word.endswith(c) and (c in BUSINESS if company else c in PARTS or c in GIVEN and len(c) >= 5):
+            if word.endswith(c) and (c in BUSINESS or c in self.learned or not company and c in GIVEN and len(c) >= 5):
                 return word[: -len(c)], c
         return None
 
@@ -218,14 +235,11 @@ def vague(kind: str, common: str) -> bool:
     return any(w.endswith(".") for w in words) or kind == "company" and len(words) < 2
 
 
-FORM = "node string, kind string, rare string, common string"
-
-
-def _parsed(more: frozenset[str]):
+def _parsed(common: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = Parser(more)
+        parser = Parser(common)
         for b in batches:
-            rows = [(e, *p) for e, f in zip(b.column("entity").to_pylist(), b.column("form").to_pylist()) if (p := parser.parse(f))]
+            rows = [(e, *p) for e, f in zip(b.column("entity").to_pylist(), b.column("form").to_pylist()) for p in parser.parse(f)]
             yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.string()) for i, n in enumerate(("entity", "kind", "rare", "common"))})
 
     return run
@@ -242,7 +256,9 @@ def _shard_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asking[rare].append((kind, common))
         trie = Trie(indexed)
         for rare, mine in asking.items():
-            for other in trie.near(rare):
+            for other in trie.near(rare) if elastic(rare) else [rare] if rare in indexed else []:
+                if other != rare and not elastic(other):
+                    continue
                 for kind, common in mine:
                     for kind2, common2 in indexed[other]:
                         if (rare, kind, common) != (other, kind2, common2) and agree(kind, common, kind2, common2):
@@ -265,13 +281,20 @@ def _shard_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(list(links(shard)))
 
 
-def common_words(names: DataFrame, partners: int = 12) -> frozenset[str]:
-    """Words that go with at least ``partners`` different other words: given names, lines of business and the like
-    that the short lists lack. Their number is that of a vocabulary and doesn't grow with the number of entities."""
-    w = names.select("entity", F.array_distinct(F.split(F.lower("form"), r"[^\p{L}]+")).alias("w")).select("w", F.explode("w").alias("word")).where(F.length("word") >= 3)
-    pairs = w.select("word", F.explode("w").alias("other")).where((F.length("other") >= 5) & (F.col("other") != F.col("word"))).distinct()
-    rows = pairs.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= partners).orderBy(F.desc("n"), "word").limit(5_000).collect()
-    return frozenset(plain(r.word) for r in rows)
+def common_words(names: DataFrame, share: float = 0.01, least: int = 4) -> dict[str, int]:
+    """Words that go with other words in at least a ``share`` of all names, and their numbers of different partners:
+    given names, lines of business, components.
+
+    A name has few words, so at most a few hundred words can reach the share, however many names there are.
+    """
+    n = names.count()
+    w = names.select(F.array_distinct(F.split(F.lower("form"), r"[^\p{L}]+")).alias("w")).select("w", F.explode("w").alias("word")).where(F.length("word") >= 3)
+    pairs = w.select("word", F.explode("w").alias("other")).where((F.length("other") >= 3) & (F.col("other") != F.col("word"))).distinct()
+    rows = pairs.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= max(least, share * n)).collect()
+    out: dict[str, int] = {}
+    for r in rows:
+        out[plain(r.word)] = max(out.get(plain(r.word), 0), r.n)
+    return out
 
 
 def forms(entities: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -283,10 +306,42 @@ def forms(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     return own.unionByName(said).select("entity", trim_blanks(F.col("form")).alias("form")).where("form <> ''").distinct()
 
 
+def _sharded(sigs: DataFrame) -> DataFrame:
+    """Signatures with the shards in which every other one that may be the same is met.
+
+    Between two words one edit (swaps included) apart, the first or the last two letters are the same from five letters
+    on, the first or the last three from seven on; words of seven and eight letters are in shards of both kinds, as
+    their neighbours may be. Words of fewer than five letters meet by their beginning only, being compared whole.
+    Other parts that agree share the first letter of a word.
+    """
+    n = F.length("rare")
+    ends = lambda k: [F.concat(F.lit(f"{k}a"), F.substring("rare", 1, k)), F.concat(F.lit(f"{k}z"), F.expr(f"right(rare, {k})"))]
+    none = F.array().cast("array<string>")
+    places = F.concat(F.when(n <= 8, F.array(*ends(2))).otherwise(none), F.when(n >= 7, F.array(*ends(3))).otherwise(none))
+    places = F.when(n < 5, F.slice(places, 1, 1)).otherwise(places)
+    lines = F.array_distinct(F.transform(F.split("common", " "), lambda w: F.substring(w, 1, 1)))
+    place = F.when(F.col("kind") == "code", "code").otherwise("name")
+    out = sigs.select("kind", "rare", "common", place.alias("_p"), F.explode(lines).alias("_l"), places.alias("_e"))
+    return out.select("kind", "rare", "common", F.explode("_e").alias("_e"), "_p", "_l").select("kind", "rare", "common", F.concat_ws("|", "_p", "_l", "_e").alias("shard"))
+
+
 def _salted(shards: DataFrame, hot: int) -> DataFrame:
-    """Rows with ``index``; a shard of more than ``hot`` names is split: each name is indexed in one part, asks in all."""
-    sizes = shards.groupBy("shard").agg(F.ceil(F.count("*") / hot).cast("int").alias("parts")).where("parts > 1")
-    s = shards.join(sizes, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    """Rows with ``index``. A shard of more than ``hot`` rows is divided by one more letter at either end of the words,
+    one of which an edit leaves intact again; what is still as large has words in common, and each of its names is
+    indexed in one part and asks in all."""
+
+    def sizes(s: DataFrame) -> DataFrame:
+        return s.groupBy("shard").agg(F.count("*").alias("_n")).where(F.col("_n") > hot)
+
+    first = sizes(shards)
+    marked = shards.join(first, "shard", "left")
+    k = F.regexp_extract("shard", r"\|([23])[az][^|]*$", 1).cast("int")
+    inner = F.when(F.regexp_extract("shard", r"\|[23]([az])[^|]*$", 1) == "a", F.expr("substring(rare, {0} + 1)".replace("{0}", "_k"))).otherwise(F.expr("left(rare, length(rare) - _k)"))
+    finer = F.array(F.concat(F.lit("a"), F.substring("_in", 1, 1)), F.concat(F.lit("z"), F.expr("right(_in, 1)")))
+    split = marked.where("_n IS NOT NULL").withColumn("_k", k).withColumn("_in", inner).withColumn("_f", F.explode(F.array_distinct(finer)))
+    cool = marked.where("_n IS NULL").select("shard", "kind", "rare", "common")
+    s = cool.unionByName(split.select(F.concat_ws("|", "shard", "_f").alias("shard"), "kind", "rare", "common"))
+    s = s.join(sizes(s).select("shard", F.ceil(F.col("_n") / hot).cast("int").alias("parts")), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("kind", "rare", "common"), F.col("parts"))
     s = s.withColumn("own", own).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return s.select(F.concat_ws("|", "shard", "part").alias("shard"), "kind", "rare", "common", (F.col("part") == F.col("own")).alias("index"))
@@ -295,13 +350,10 @@ def _salted(shards: DataFrame, hot: int) -> DataFrame:
 def link_entities(entities: DataFrame, mentions: DataFrame, hot: int = 20_000) -> DataFrame:
     """``entity, root``: the component of every entity that has at least one readable form."""
     f = materialise(forms(entities, mentions), "forms")
-    names = entities.select(F.col("id").alias("entity"), F.col("name").alias("form")).where("entity IS NOT NULL AND form IS NOT NULL")
-    more = common_words(names)
-    read = materialise(f.mapInArrow(_parsed(more), "entity string, kind string, rare string, common string").distinct(), "parsed")
-    sigs = read.select("kind", "rare", "common").distinct()
-    line = F.when(F.col("kind") == "company", F.lit("")).when(F.col("kind") == "code", F.lit("")).otherwise(F.substring("common", 1, 1))
-    place = F.when(F.col("kind") == "code", F.lit("code")).when(F.col("kind") == "person", F.lit("person")).otherwise(F.lit("thing"))
-    shards = sigs.select("kind", "rare", "common", F.explode(F.array(F.concat_ws("|", place, line, F.lit("a"), F.substring("rare", 1, 3)), F.concat_ws("|", place, line, F.lit("z"), F.expr("right(rare, 3)")))).alias("shard"))
+    names = entities.select(F.col("name").alias("form")).where("id IS NOT NULL AND form IS NOT NULL")
+    common = common_words(names)
+    read = materialise(f.mapInArrow(_parsed(common), "entity string, kind string, rare string, common string").distinct(), "parsed")
+    shards = _sharded(read.select("kind", "rare", "common").distinct())
     n = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = _salted(shards, hot).repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_shard_join, "kind string, rare string, common string, kind2 string, rare2 string, common2 string").distinct()
     found = materialise(found, "links")
@@ -316,6 +368,15 @@ def link_entities(entities: DataFrame, mentions: DataFrame, hot: int = 20_000) -
     return components(edges).where(~F.col("node").startswith("~\x01")).select(F.col("node").alias("entity"), "root")
 
 
+def entity_classes(entities: DataFrame, mentions: DataFrame, **how) -> DataFrame:
+    """Every ``entity`` with its ``class_id``, the smallest of those that stand for the same; one without a readable
+    name is a class of its own. Null ids are left out, repeated rows give one."""
+    c = materialise(link_entities(entities, mentions, **how), "components")
+    least = c.groupBy("root").agg(F.min("entity").alias("class_id"))
+    ids = entities.select(F.col("id").alias("entity")).where("entity IS NOT NULL").distinct()
+    return ids.join(c.join(least, "root").select("entity", "class_id"), "entity", "left").select("entity", F.coalesce("class_id", "entity").alias("class_id"))
+
+
 def same_entities(entities: DataFrame, mentions: DataFrame, **how) -> DataFrame:
     """All pairs ``entity_a < entity_b`` of rows of ``entities`` that stand for the same person, company or thing.
 

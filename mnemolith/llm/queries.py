@@ -74,6 +74,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return entities.same_entities(table(spark, d, "entities"), table(spark, d, "entity_mentions"))
 
 
+def p7_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every entity with the class of rows that stand for the same; copies are not expanded into pairs."""
+    return entities.entity_classes(table(spark, d, "entities"), table(spark, d, "entity_mentions"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents"))
 
@@ -100,7 +105,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("subject").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_lift, p2_found, p2_groups, p3_found, p3_redacted, p4_found, p4_turns, p5_found, p5_collapsed, p5_records, p7_found, p8_ids, p9_pack, p9_fill, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_lift, p2_found, p2_groups, p3_found, p3_redacted, p4_found, p4_turns, p5_found, p5_collapsed, p5_records, p7_found, p7_classes, p8_ids, p9_pack, p9_fill, p10_found, p10_shares)}
 
 _PAIRS = """
 WITH m AS (SELECT DISTINCT entity_id e, memory_id m FROM entity_mentions WHERE entity_id IS NOT NULL AND memory_id IS NOT NULL),

@@ -220,6 +220,40 @@ def test_entities(spark):
     assert entities.same_entities(e.limit(0), m).count() == 0
 
 
+def test_entities_with_short_and_foreign_names(spark):
+    names = {"1": "john kim", "2": "Kim, John", "3": "robert chen", "4": "Chen, Bob", "5": "王小明", "6": "王 小明", "7": "acme works", "8": "Acme Wks.", "9": "priya raghunathan", "a": "Raghunathan, Priya", "b": "P. Raghunathan", "c": "robert chan", "d": "王小朋", "e": "acme", "f": "ACME", "g": "priya raghunatan"}
+    e = spark.createDataFrame([(i, n, [n]) for i, n in names.items()], "id string, name string, aliases array<string>")
+    m = spark.createDataFrame([], "entity_id string, mention_text string")
+    same = ["12", "34", "56", "78", "9abg"]
+    assert {tuple(r) for r in entities.same_entities(e, m).collect()} == {p for s in same for p in itertools.combinations(s, 2)}
+    got = {r.entity: r.class_id for r in entities.entity_classes(e, m).collect()}
+    assert got == {i: next((s[0] for s in same if i in s), i) for i in names}
+
+
+@pytest.mark.parametrize("hot", [60, 20_000])
+def test_entities_recall_grows_with_no_table(spark, hot):
+    """10,000 names of persons, families of very different frequency: variants are found again, strangers stay apart."""
+    rnd = random.Random(hot)
+    coin = lambda n: "".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(n))
+    given = [g for g in entities.NICKNAMES if len(g) >= 4] + list({coin(3) for _ in range(150)} - {"maria"})
+    family = ["smith", "kim", "roth", "lee"] + list({coin(rnd.choice([2, 4, 5])) for _ in range(1500)})
+    near = entities.Trie(family)
+    family = family[:4] + [f for f in family[4:] if near.near(f) == [f]]
+    people = list({(rnd.choice(given), rnd.choice(family[:4] if rnd.random() < 0.2 else family)) for _ in range(6_200 if hot > 60 else 1_500)})
+    rows, truth = [], set()
+    for k, (g, f) in enumerate(people):
+        nick = rnd.choice((entities.NICKNAMES.get(g) or g).split())
+        at = rnd.randrange(1, len(f) - 1)
+        typo = f[:at] + f[at + 1] + f[at] + f[at + 2 :] if len(f) >= 8 and f[at] != f[at + 1] else f
+        variants = [f"{g} {f}", rnd.choice([f"{f}, {g}", f"{nick} {f}", f"{g} {typo}", f"{f.title()} {g.title()}"])][: rnd.choice([1, 2, 2])]
+        rows += [(f"{k:05}-{v}", x) for v, x in enumerate(variants)]
+        if len(variants) == 2:
+            truth.add((f"{k:05}-0", f"{k:05}-1"))
+    e = spark.createDataFrame(rows, "id string, name string").withColumn("aliases", F.lit(None).cast("array<string>"))
+    got = {tuple(r) for r in entities.same_entities(e, spark.createDataFrame([], "entity_id string, mention_text string"), hot=hot).collect()}
+    assert len(rows) > (10_000 if hot > 60 else 2_000) and len(got & truth) >= 0.95 * len(truth) and len(got & truth) >= 0.97 * len(got), (len(rows), len(truth), len(got), len(got & truth))
+
+
 # --- 8, 9 -----------------------------------------------------------------------------------------------------------
 
 public = pytest.importorskip("public_tokenizers")
