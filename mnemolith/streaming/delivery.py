@@ -3,8 +3,12 @@
 A keyed state store holds, per message id and retention bucket of event time, the earliest delivery seen so far.
 State older than the watermark is dropped; what it knew stays in a ledger that is written per micro-batch under its
 batch id, so replaying a batch after a failure overwrites the same folder: state checkpoint and output advance together.
-Deliveries without an event time or older than the watermark, and ids whose state has expired, are settled by the
-late-arrival lookup: all ledger entries of an id are compared and the earliest one wins.
+Deliveries without an event time, or older than the watermark of the batch they came in, are refused by the store and
+noted in the ledger by themselves; the late-arrival lookup then compares all ledger entries of an id, also those of
+states that had expired in between, and the earliest one wins.
+
+``kept_deliveries`` works through a log in the order it arrived: one batch after another is put into the folder that is
+watched, and the query starts again from its checkpoint for each, as it would after any stop.
 """
 
 from __future__ import annotations
@@ -66,8 +70,9 @@ def delivery_ledger(stream: DataFrame, path: str, checkpoint: str, *, key: str =
     return timed.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
 
 
-def late_deliveries(rows: DataFrame, watermark: str | None, *, key: str = "message_uuid", ts: str = "ingested_at", seq: str = "seq") -> DataFrame:
-    """Ledger entries of the rows that the state store may have refused: without a time, or older than the last watermark."""
+def late_deliveries(rows: DataFrame, watermark: str | None = None, *, key: str = "message_uuid", ts: str = "ingested_at", seq: str = "seq") -> DataFrame:
+    """Ledger entries of rows the state store refused: without a time, or older than ``watermark``, the one of the batch
+    they came in. The watermark before any event is 1970, so nothing is older than that."""
     late = F.col("at").isNull()
     if watermark:
         late = late | (F.col("at").cast("timestamp") < F.lit(watermark).cast("timestamp"))
@@ -82,18 +87,64 @@ def settle(ledger: DataFrame) -> DataFrame:
 LEDGER = "key string, best struct<late: boolean, at: timestamp_ntz, seq: bigint>"
 
 
-def kept_deliveries(spark: SparkSession, source: str, schema: T.StructType, **options) -> DataFrame:
-    """Run the stream over all files of ``source`` and return the kept ``(key, seq)``; no files or rows give none.
+def arrivals(rows: DataFrame, batches: int, *, key: str = "message_uuid", ts: str = "ingested_at", seq: str = "seq") -> str:
+    """Write the narrow columns ``key, at, seq`` to a folder per batch of arrival and return the path above them.
+
+    Batches are ranges of ``seq`` at its approximate quantiles, so nothing is shuffled; equal counts don't matter.
+    """
+    path = scratch(rows.sparkSession, "arrivals")
+    cuts = sorted(set(rows.approxQuantile(seq, [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
+    no = F.lit(0)
+    for c in cuts:
+        no = no + F.coalesce((F.col("seq") > c).cast("int"), F.lit(0))
+    rows.select(key_of(F.col(key)).alias("key"), F.col(ts).cast("timestamp_ntz").alias("at"), F.col(seq).cast("long").alias("seq")).where("key IS NOT NULL").withColumn("arrival", no).write.partitionBy("arrival").parquet(path)
+    return path
+
+
+NARROW = "key string, at timestamp_ntz, seq bigint"
+
+
+def deliver(spark: SparkSession, path: str, base: str, batches: int, **options) -> list[dict]:
+    """Run the stream over the folders of ``arrivals`` in turn, from its checkpoint each time.
 
-    ``seq`` must be unique; of equal times the smallest ``seq`` stays, a null time counts as latest.
+    Returns for each batch ``arrival``, the ``watermark`` it met, and the store's numbers of rows ``refused`` as too
+    late, and of states ``expired`` and ``kept``.
+    """
+    log = []
+    for i in range(batches):
+        batch = spark.read.schema(NARROW + ", arrival int").parquet(path).where(F.col("arrival") == i).drop("arrival")
+        batch.write.mode("overwrite").parquet(f"{base}/inbox/batch={i}")
+        stream = spark.readStream.schema(NARROW).parquet(f"{base}/inbox")
+        query = delivery_ledger(stream, f"{base}/ledger", f"{base}/state", key="key", ts="at", seq="seq", **options)
+        query.awaitTermination()
+        seen = [_progress(p) for p in query.recentProgress]
+        state = [o for p in seen for o in p.get("stateOperators", [])]
+        marks = [p["eventTime"]["watermark"] for p in seen if p.get("eventTime", {}).get("watermark")]
+        total = lambda name: sum(o.get(name, 0) for o in state)
+        log.append({"arrival": i, "watermark": max(marks, default=None), "refused": total("numRowsDroppedByWatermark"), "expired": total("numRowsRemoved"), "kept": state[-1].get("numRowsTotal", 0) if state else 0})
+    return log
+
+
+def kept_deliveries(spark: SparkSession, source: str, schema: T.StructType, batches: int = 4, log: list | None = None, **options) -> DataFrame:
+    """Stream all rows of ``source`` in ``batches`` and return the kept ``(key, seq)``; no files or rows give none.
+
+    ``seq`` must be unique; of equal times the smallest ``seq`` stays, a null time counts as latest. ``log``, if given,
+    gets what ``deliver`` returns.
     """
     base = scratch(spark, "delivery")
-    columns = {k: v for k, v in options.items() if k in ("key", "ts", "seq")}
+    columns = {k: options.pop(k) for k in ("key", "ts", "seq") if k in options}
+    path = arrivals(spark.read.schema(schema).parquet(source), batches, **columns)
     with _settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKS, spark__sql__streaming__noDataMicroBatches__enabled="false"):
-        query = delivery_ledger(spark.readStream.schema(schema).parquet(_glob(source)), f"{base}/ledger", f"{base}/state", **options)
-        query.awaitTermination()
-    watermark = max((p["eventTime"]["watermark"] for p in map(_progress, query.recentProgress) if p.get("eventTime", {}).get("watermark")), default=None)
-    entries = late_deliveries(spark.read.schema(schema).parquet(source), watermark, **columns)
+        done = deliver(spark, path, base, batches, **options)
+    if log is not None:
+        log += done
+    landed = spark.read.schema(NARROW + ", arrival int").parquet(path)
+    # Each batch's own watermark decides which of its rows the store refused; there are as many as batches.
+    mark = F.lit(None).cast("string")
+    for x in done:
+        mark = F.when(F.col("arrival") == x["arrival"], F.lit(x["watermark"])).otherwise(mark)
+    late = landed.where(F.col("at").isNull() | (F.col("at").cast("timestamp") < mark.cast("timestamp")))
+    entries = late.groupBy("key").agg(_best())
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     there = jvm.org.apache.hadoop.fs.Path(f"{base}/ledger")
     if there.getFileSystem(conf).exists(there):

@@ -20,13 +20,33 @@ def test_removed_deliveries(spark, tmp_path):
 
 
 def test_late_rows_survive_expired_state(spark, tmp_path):
-    # Several batches, a short delay: the early delivery comes when the state of its time has long expired.
+    """Three batches, a short delay, a restart before each: early deliveries come when the state of their time is gone."""
     p = f"{tmp_path}/raw"
-    for i, rows in enumerate([[(1, "a", T0 + timedelta(days=100), "x")], [(2, "b", T0 + timedelta(days=300), "y")], [(3, "a", T0, "x"), (4, "b", T0, "y"), (5, "c", T0, "z")]]):
-        write(spark, p, rows)
-    schema = spark.read.parquet(p).schema
-    kept = delivery.kept_deliveries(spark, p, schema, delay="1 hour", retention="1 day")
-    assert {r.key: r.seq for r in kept.collect()} == {"a": 3, "b": 4, "c": 5}
+    day = timedelta(days=1)
+    write(spark, p, [(1, "a", T0 + 100 * day, "x"), (2, "b", T0 + 300 * day, "y"), (3, "d", None, "w")])
+    write(spark, p, [(4, "b", T0 + 301 * day, "y"), (5, "e", T0 + 400 * day, "v"), (6, "e", T0 + 400 * day, "v")])
+    write(spark, p, [(7, "a", T0, "x"), (8, "b", T0, "y"), (9, "c", T0, "z"), (10, "e", T0 + 399 * day, "v"), (11, "d", None, "w")])
+    log = []
+    kept = delivery.kept_deliveries(spark, p, spark.read.parquet(p).schema, batches=3, log=log, delay="1 hour", retention="1 day")
+    assert {r.key: r.seq for r in kept.collect()} == {"a": 7, "b": 8, "c": 9, "d": 3, "e": 10}
+    assert [x["arrival"] for x in log] == [0, 1, 2] and log[0]["watermark"].startswith("1970") and log[2]["watermark"] > log[1]["watermark"]
+    assert sum(x["expired"] for x in log) >= 2 and log[2]["refused"] >= 3, log
+
+
+def test_batches_equal_one_batch(spark, tmp_path):
+    import random
+
+    rnd = random.Random(7)
+    rows = [(i, rnd.choice(["m%d" % rnd.randrange(150), " M%d" % rnd.randrange(150), "hot", None, ""]), rnd.choice([None, T0 + timedelta(hours=rnd.randrange(9000))]), "x") for i in range(1500)]
+    write(spark, f"{tmp_path}/raw", rows, 3)
+    best = {}
+    for seq, u, at, _ in rows:
+        if u and u.strip():
+            best[u.strip().lower()] = min(best.get(u.strip().lower(), (True,)), (at is None, at or T0, seq)) if u.strip().lower() in best else (at is None, at or T0, seq)
+    schema = spark.read.parquet(f"{tmp_path}/raw").schema
+    for n in (1, 5):
+        got = {r.key: r.seq for r in delivery.kept_deliveries(spark, f"{tmp_path}/raw", schema, batches=n, delay="10 days", retention="5 days").collect()}
+        assert got == {k: v[2] for k, v in best.items()}
 
 
 def test_empty_log(spark, tmp_path):
