@@ -125,6 +125,39 @@ def test_superseded_brute_force(spark, shared):
     assert got == exp
 
 
+@pytest.mark.parametrize("block", [600, 3_000, 1 << 20])
+def test_superseded_in_parts(spark, block):
+    """Keys larger than a block, equal times across parts, records without a successor near by."""
+    import random
+
+    rnd = random.Random(block)
+    rows = [(f"r{i:03}", " ".join(rnd.sample([f"w{x}" for x in range(30 if i % 3 else 400)], k=4)), T0 + timedelta(minutes=rnd.randrange(60)), "organized", "c", rnd.choice("ppppq")) for i in range(400)]
+    got = {r.id: r.superseded_by for r in versioning.superseded(spark.createDataFrame(rows, "id string, content string, created_at timestamp, phase string, category string, project string"), shared=2, block=block).collect()}
+    exp = {}
+    for a in rows:
+        later = [(b[2], b[0]) for b in rows if b[5] == a[5] and b[2] > a[2] and len(set(a[1].split()) & set(b[1].split())) >= 2]
+        if later:
+            exp[a[0]] = min(later)[1]
+    assert got == exp and 100 < len(exp) < 400
+
+
+def test_superseded_moves_no_pairs(spark, tmp_path):
+    """1,500 records of one key that all share terms: what is shuffled is a few bytes per record, not a row per pair."""
+    rows = [(f"r{i:04}", f"alpha beta gamma w{i % 40} v{i % 30}", T0 + timedelta(minutes=i), "organized", "c", "p") for i in range(1_500)]
+    spark.createDataFrame(rows, "id string, content string, created_at timestamp, phase string, category string, project string").write.parquet(f"{tmp_path}/m")
+    before = _shuffled(spark)
+    got = {r.id: r.superseded_by for r in versioning.superseded(spark.read.parquet(f"{tmp_path}/m")).collect()}
+    assert got == {f"r{i:04}": f"r{i + 1:04}" for i in range(1_499)}
+    assert _shuffled(spark) - before < 500 * len(rows)
+
+
+def _shuffled(spark):
+    """Bytes written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(10_000)
+    return sum(sc.statusStore().executorList(False).apply(i).totalShuffleWrite() for i in range(sc.statusStore().executorList(False).size()))
+
+
 def test_graph_and_merge(spark):
     e = spark.createDataFrame([("1", "fingersaver", "concept", ["fs"]), ("2", "makro", "concept", None), ("3", "go", "concept", [])], "id string, name string, kind string, aliases array<string>")
     m = spark.createDataFrame([("1", "m1", "FS "), ("2", "m1", "x"), ("2", "m2", None), (None, "m2", "y")], "entity_id string, memory_id string, mention_text string")
